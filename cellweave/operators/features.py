@@ -7,10 +7,12 @@ import warnings
 import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import stats as S
+from cellweave.session import materialize
 
 
 def gene_stats(expr: DataFrame, obs: DataFrame, genes: DataFrame | None = None) -> DataFrame:
@@ -168,7 +170,9 @@ def lsi(expr: DataFrame, obs: DataFrame, n_comps: int = 20, per: str = "column")
         .agg(F.collect_list(F.struct((F.col("_col") - 1).cast("int").alias("c"), F.col("value").alias("v"))).alias("_nz"))
         .select("cell_id", F.array_sort("_nz").alias("_nz"))
     )
-    matrix = IndexedRowMatrix(rows.rdd.map(lambda r: IndexedRow(r["cell_id"], Vectors.sparse(size, [p["c"] for p in r["_nz"]], [p["v"] for p in r["_nz"]]))))
+    # The iterative solver reads the rows many times: they are written once and kept near the executors.
+    rows = materialize(rows)
+    matrix = IndexedRowMatrix(rows.rdd.map(lambda r: IndexedRow(r["cell_id"], Vectors.sparse(size, [p["c"] for p in r["_nz"]], [p["v"] for p in r["_nz"]]))).persist(StorageLevel.MEMORY_AND_DISK))
     k = max(2, min(n_comps + 1, size - 1, n - 1))
     svd = matrix.computeSVD(k, computeU=True)
     scale = [float(s) for s in svd.s]
