@@ -195,7 +195,10 @@ def bh_fdr(df: DataFrame, p: str, by: Sequence[str] = (), out: str = "qval") ->
     The reverse running minimum is taken inside value buckets and then over the
     bucket summary, so no group is sorted whole in one task.
     """
+    from cellweave.session import materialize
+
     by = list(by)
+    df = materialize(df)  # a test table is small next to what it was computed from, and is read several times
     tested = df.filter(F.col(p).isNotNull()).select(*by, p)
     total = tested.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))
     ranked = cumulative_counts(tested, by, p)
