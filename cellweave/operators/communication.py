@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import stats as S
 from cellweave.functions.reference_tables import LR_PAIRS
+from cellweave.session import materialize
 
 
 def curated_pairs(spark: SparkSession, species: str = "human") -> DataFrame:
@@ -92,10 +93,11 @@ def consensus_rank(expr: DataFrame, obs: DataFrame, pairs: DataFrame, groupby: s
         "s_diff": (F.col("l_mean") - F.col("_ligand_avg") + F.col("r_mean") - F.col("_receptor_avg")) / 2.0,
     }
     key = ["ligand", "receptor", "source", "target"]
-    table = rows.crossJoin(overall).select(*key, *[S.r6(e, 12).alias(n) for n, e in scorers.items()])  # one-row side
-    size = table.agg(F.count(F.lit(1)).alias("_n"))
+    scored = materialize(rows.crossJoin(overall).select(*key, *[S.r6(e, 12).alias(n) for n, e in scorers.items()]))  # one-row side
+    size = scored.agg(F.count(F.lit(1)).alias("_n"))
+    table = scored
     for name in scorers:
-        ranks = S.average_ranks(table.select(F.col(name)), [], name).crossJoin(size).select(  # one-row side
+        ranks = S.average_ranks(scored.select(F.col(name)), [], name).crossJoin(size).select(  # one-row side
             name, ((F.col("_n") + 1 - F.col("avg_rank")) / F.col("_n")).alias(f"_r_{name}")
         )
         table = table.join(ranks, name)

@@ -243,8 +243,8 @@ def en_gene_list(spark, sf):
 @register("en_ora", f"""{LIST}, bg AS (SELECT COUNT(*) AS n FROM part), o AS (SELECT "group", gene_set, COUNT(*) AS k FROM lst JOIN sets USING (gene_id) GROUP BY 1, 2),
  d AS (SELECT "group", COUNT(*) AS m FROM lst GROUP BY 1), h AS (SELECT gene_set, COUNT(*) AS s FROM sets GROUP BY 1),
  tm AS (SELECT "group", gene_set, k, s, m, n, unnest(range(k, least(s, m) + 1)) AS i FROM o JOIN d USING ("group") JOIN h USING (gene_set), bg),
- pv AS (SELECT "group", gene_set, k, s, m, least(1, SUM(CASE WHEN m - i <= n - s THEN exp(lgamma(s + 1) - lgamma(i + 1) - lgamma(s - i + 1) + lgamma(n - s + 1) - lgamma(m - i + 1) - lgamma(n - s - m + i + 1) - lgamma(n + 1) + lgamma(m + 1) + lgamma(n - m + 1)) ELSE 0 END)) AS p FROM tm GROUP BY 1, 2, 3, 4, 5)
- SELECT "group", gene_set, k AS overlap, s AS set_size, m AS n_genes, {t.r6_sql('p')} AS pvalue, {t.r6_sql('q')} AS pvalue_adj FROM {bh_sql('pv', 'gene_set', by='"group"')}""")
+ ht AS (SELECT "group", gene_set, k, s, m, least(1, SUM(CASE WHEN m - i <= n - s THEN exp(lgamma(s + 1) - lgamma(i + 1) - lgamma(s - i + 1) + lgamma(n - s + 1) - lgamma(m - i + 1) - lgamma(n - s - m + i + 1) - lgamma(n + 1) + lgamma(m + 1) + lgamma(n - m + 1)) ELSE 0 END)) AS p FROM tm GROUP BY 1, 2, 3, 4, 5)
+ SELECT "group", gene_set, k AS overlap, s AS set_size, m AS n_genes, {t.r6_sql('p')} AS pvalue, {t.r6_sql('q')} AS pvalue_adj FROM {bh_sql('ht', 'gene_set', by='"group"')}""")
 def en_ora(spark, sf):
     o = en.ora(en.gene_list(markers(spark, sf)), gene_sets(spark, sf), t.genes(spark, sf))
     return o.select("group", "gene_set", "overlap", "set_size", "n_genes", r6("pvalue").alias("pvalue"), r6("pvalue_adj").alias("pvalue_adj"))
@@ -289,8 +289,8 @@ def en_score_genes(spark, sf):
 # --------------------------------------------------------- annotation, deconvolution
 @register("an_markers", f"""{WILCOXON}, sig AS (SELECT p_brand AS cell_type, p_partkey AS gene_id, CAST(substr(p_brand, 7) AS INT) AS position FROM part),
  tp AS (SELECT "group", gene_id FROM (SELECT "group", gene_id, row_number() OVER (PARTITION BY "group" ORDER BY scores DESC, gene_id) AS r FROM mk) WHERE r <= 30),
- sc AS (SELECT "group", cell_type, COUNT(*)::DOUBLE / (SELECT COUNT(*) FROM sig s WHERE s.cell_type = sig.cell_type) AS s, any_value(position) AS pos FROM tp JOIN sig USING (gene_id) GROUP BY 1, 2),
- b AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY s DESC, pos) AS r FROM sc)
+ ov AS (SELECT "group", cell_type, COUNT(*)::DOUBLE / (SELECT COUNT(*) FROM sig s WHERE s.cell_type = sig.cell_type) AS s, any_value(position) AS pos FROM tp JOIN sig USING (gene_id) GROUP BY 1, 2),
+ b AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY s DESC, pos) AS r FROM ov)
  SELECT "group", CASE WHEN s < 0.03 THEN 'Unknown' ELSE cell_type END AS cell_type, round(s, 3) AS score FROM b WHERE r = 1""")
 def an_markers(spark, sf):
     sig = t.genes(spark, sf).select(F.col("chromosome").alias("cell_type"), "gene_id", F.expr("cast(substring(chromosome, 7) as int)").alias("position"))
