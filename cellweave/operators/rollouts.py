@@ -296,7 +296,7 @@ def qa_score(df: DataFrame, key: str = "id", pred: str = "response", golds: str
 
 def eval_summary(scores: DataFrame) -> DataFrame:
     """Per-row metrics rounded to two places, averaged, times 100."""
-    return scores.agg(*[F.round(F.avg(F.round(c, 2)) * 100.0, 6).alias(c) for c in ("em", "sub_em", "f1")])
+    return scores.agg(*[F.round(F.avg(F.floor(F.col(c) * 100.0 + 0.5) / 100.0) * 100.0, 6).alias(c) for c in ("em", "sub_em", "f1")])
 
 
 def answer_extract(text: Column) -> Column:

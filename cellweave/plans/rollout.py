@@ -59,9 +59,9 @@ def rl_gae(spark, sf):
 
 
 @register("rl_discounted_returns", f"""{whitened("SELECT a.sample_id, a.pos, any_value(a.m) AS m, SUM(pow(0.9::DOUBLE, b.pos - a.pos) * b.r) AS x FROM tok a JOIN tok b ON a.sample_id = b.sample_id AND b.pos >= a.pos AND (b.pos = a.pos OR NOT EXISTS (SELECT 1 FROM tok z WHERE z.sample_id = a.sample_id AND z.pos > a.pos AND z.pos <= b.pos AND z.m = 0)) GROUP BY 1, 2")}
- SELECT sample_id, pos, {t.r6_sql('(x - mean) / sqrt(var + 1e-8::DOUBLE) * m', 5)} AS advantages, {t.r6_sql('x', 5)} AS returns FROM raw, mo, va""")
+ SELECT sample_id, pos, {t.r6_sql('(x - mean) / sqrt(var + 1e-8::DOUBLE) * m', 9)} AS advantages, {t.r6_sql('x', 9)} AS returns FROM raw, mo, va""")
 def rl_discounted_returns(spark, sf):
-    return _explode(ro.discounted_returns(samples(spark, sf), 0.9), "advantages", "returns", digits=5)
+    return _explode(ro.discounted_returns(samples(spark, sf), 0.9), "advantages", "returns", digits=9)
 
 
 @register("rl_remax", f"""WITH {TOK} SELECT sample_id, pos, {t.r6_sql('SUM(r * m) OVER w')} AS returns, {t.r6_sql('SUM(r * m) OVER w - 0.05 * m')} AS advantages FROM tok WINDOW w AS (PARTITION BY sample_id ORDER BY pos DESC ROWS UNBOUNDED PRECEDING)""")
@@ -153,7 +153,7 @@ def rl_qa_score(spark, sf):
     return ro.qa_score(qa(spark, sf)).select("id.conv_id", "id.turn", "em", "sub_em", r6("f1").alias("f1"))
 
 
-@register("rl_eval_summary", f"{QA} SELECT round(AVG(round(em, 2)) * 100, 6) AS em, round(AVG(round(sub_em, 2)) * 100, 6) AS sub_em, round(AVG(round(f1, 2)) * 100, 4) AS f1 FROM sc")
+@register("rl_eval_summary", f"{QA} SELECT round(AVG(floor(em * 100 + 0.5) / 100) * 100, 6) AS em, round(AVG(floor(sub_em * 100 + 0.5) / 100) * 100, 6) AS sub_em, round(AVG(floor(f1 * 100 + 0.5) / 100) * 100, 4) AS f1 FROM sc")
 def rl_eval_summary(spark, sf):
     return ro.eval_summary(ro.qa_score(qa(spark, sf))).withColumn("f1", F.round("f1", 4))
 
