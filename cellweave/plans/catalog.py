@@ -1,4 +1,4 @@
 """Imports every plan module, so that its queries are registered."""
 
-from cellweave.plans import biology, knowledge, matrix, rollout, spatial  # noqa: F401
+from cellweave.plans import biology, dynamic, knowledge, matrix, rollout, spatial, tissue  # noqa: F401
 from cellweave.plans.matrix import flagship  # noqa: F401

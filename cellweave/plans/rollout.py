@@ -59,9 +59,10 @@ def rl_gae(spark, sf):
 
 
 @register("rl_discounted_returns", f"""{whitened("SELECT a.sample_id, a.pos, any_value(a.m) AS m, SUM(pow(0.9::DOUBLE, b.pos - a.pos) * b.r) AS x FROM tok a JOIN tok b ON a.sample_id = b.sample_id AND b.pos >= a.pos AND (b.pos = a.pos OR NOT EXISTS (SELECT 1 FROM tok z WHERE z.sample_id = a.sample_id AND z.pos > a.pos AND z.pos <= b.pos AND z.m = 0)) GROUP BY 1, 2")}
- SELECT sample_id, pos, {t.r6_sql('(x - mean) / sqrt(var + 1e-8::DOUBLE) * m', 9)} AS advantages, {t.r6_sql('x', 9)} AS returns FROM raw, mo, va""")
+ SELECT sample_id, pos, {t.r6_sql('(x - mean) / sqrt(var + 1e-8::DOUBLE) * m')} AS advantages, {t.r6_sql('x', 9)} AS returns FROM raw, mo, va""")
 def rl_discounted_returns(spark, sf):
-    return _explode(ro.discounted_returns(samples(spark, sf), 0.9), "advantages", "returns", digits=9)
+    out = _explode(ro.discounted_returns(samples(spark, sf), 0.9), "advantages", "returns", digits=9)
+    return out.withColumn("advantages", r6("advantages"))
 
 
 @register("rl_remax", f"""WITH {TOK} SELECT sample_id, pos, {t.r6_sql('SUM(r * m) OVER w')} AS returns, {t.r6_sql('SUM(r * m) OVER w - 0.05 * m')} AS advantages FROM tok WINDOW w AS (PARTITION BY sample_id ORDER BY pos DESC ROWS UNBOUNDED PRECEDING)""")
@@ -139,7 +140,7 @@ QA = f"""WITH src AS (SELECT a.conv_id, a.turn, a.text AS response, b.text AS go
  c AS (SELECT conv_id, turn, w, SUM(a) AS a, SUM(b) AS b FROM w WHERE w <> '' GROUP BY 1, 2, 3),
  s AS (SELECT conv_id, turn, SUM(least(a, b)) AS same, SUM(a) AS la, SUM(b) AS lb FROM c GROUP BY 1, 2),
  sc AS (SELECT conv_id, turn, CASE WHEN p = q THEN 1.0::DOUBLE ELSE 0 END AS em, CASE WHEN contains(p, q) OR contains(q, p) THEN 1.0::DOUBLE ELSE 0 END AS sub_em,
-   CASE WHEN coalesce(same, 0) = 0 THEN 0 ELSE 2.0::DOUBLE * same / (la + lb) END AS f1 FROM nn LEFT JOIN s USING (conv_id, turn))"""
+   CASE WHEN coalesce(same, 0) = 0 THEN 0 ELSE 2.0::DOUBLE * (same / la::DOUBLE) * (same / lb::DOUBLE) / (same / la::DOUBLE + same / lb::DOUBLE) END AS f1 FROM nn LEFT JOIN s USING (conv_id, turn))"""
 
 
 def qa(spark, sf):
