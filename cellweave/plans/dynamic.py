@@ -139,12 +139,12 @@ def re_displacement(spark, sf):
     return it.alignment_displacement(a, "batch").withColumn("rms_displacement", r6("rms_displacement"))
 
 
-@register("re_coupling", f"WITH {t.SQL_CELLS} SELECT l_partkey AS cell_id, {t.r6_sql('SUM(l_discount * x) / CASE WHEN SUM(l_discount) = 0 THEN 1 ELSE SUM(l_discount) END', 8)} AS x, {t.r6_sql('SUM(l_discount * y) / CASE WHEN SUM(l_discount) = 0 THEN 1 ELSE SUM(l_discount) END', 8)} AS y FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN cells ON cells.cell_id = o_custkey GROUP BY 1")
+@register("re_coupling", f"WITH {t.SQL_CELLS} SELECT l_partkey AS cell_id, {t.r6_sql('SUM(l_discount * x) / CASE WHEN SUM(l_discount) = 0 THEN 1 ELSE SUM(l_discount) END', 10)} AS x, {t.r6_sql('SUM(l_discount * y) / CASE WHEN SUM(l_discount) = 0 THEN 1 ELSE SUM(l_discount) END', 10)} AS y FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN cells ON cells.cell_id = o_custkey GROUP BY 1")
 def re_coupling(spark, sf):
     lines = t.load(spark, sf, "lineitem").join(t.load(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     pi = lines.select(F.col("o_custkey").alias("ref_id"), F.col("l_partkey").alias("cell_id"), F.col("l_discount").alias("pi"))
     placed, _ = it.project_by_coupling(pi, t.cells(spark, sf))
-    return placed.select("cell_id", r6("x", 8).alias("x"), r6("y", 8).alias("y"))
+    return placed.select("cell_id", r6("x", 10).alias("x"), r6("y", 10).alias("y"))
 
 
 @register("re_interpolate_slices", f"WITH v AS (SELECT n_regionkey AS slice, c_mktsegment AS position, AVG(c_acctbal) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) SELECT a.slice AS _a, a.position, s.step::INT AS step, {t.r6_sql('(1 - s.step / 4.0::DOUBLE) * a.value + s.step / 4.0::DOUBLE * b.value')} AS value FROM v a JOIN v b ON b.slice = a.slice + 1 AND b.position = a.position CROSS JOIN (SELECT unnest([1, 2, 3]) AS step) s")

@@ -59,10 +59,10 @@ def rl_gae(spark, sf):
 
 
 @register("rl_discounted_returns", f"""{whitened("SELECT a.sample_id, a.pos, any_value(a.m) AS m, SUM(pow(0.9::DOUBLE, b.pos - a.pos) * b.r) AS x FROM tok a JOIN tok b ON a.sample_id = b.sample_id AND b.pos >= a.pos AND (b.pos = a.pos OR NOT EXISTS (SELECT 1 FROM tok z WHERE z.sample_id = a.sample_id AND z.pos > a.pos AND z.pos <= b.pos AND z.m = 0)) GROUP BY 1, 2")}
- SELECT sample_id, pos, {t.r6_sql('(x - mean) / sqrt(var + 1e-8::DOUBLE) * m')} AS advantages, {t.r6_sql('x', 9)} AS returns FROM raw, mo, va""")
+ SELECT sample_id, pos, {t.r6_sql('(x - mean) / sqrt(var + 1e-8::DOUBLE) * m', 4)} AS advantages, {t.r6_sql('x', 9)} AS returns FROM raw, mo, va""")
 def rl_discounted_returns(spark, sf):
     out = _explode(ro.discounted_returns(samples(spark, sf), 0.9), "advantages", "returns", digits=9)
-    return out.withColumn("advantages", r6("advantages"))
+    return out.withColumn("advantages", r6("advantages", 4))
 
 
 @register("rl_remax", f"""WITH {TOK} SELECT sample_id, pos, {t.r6_sql('SUM(r * m) OVER w')} AS returns, {t.r6_sql('SUM(r * m) OVER w - 0.05 * m')} AS advantages FROM tok WINDOW w AS (PARTITION BY sample_id ORDER BY pos DESC ROWS UNBOUNDED PRECEDING)""")
