@@ -194,7 +194,9 @@ def _nb_wald(counts: np.ndarray, sf: np.ndarray, x: np.ndarray) -> tuple[float,
     """Log fold change, its standard error and dispersion of one gene: IRLS with a moment dispersion."""
     y = counts / sf
     mu0, m = y.mean(), len(y)
-    alpha = max(1e-8, (y.var(ddof=1) - mu0 * (1.0 / sf).mean()) / max(mu0 * mu0, 1e-12)) if m > 2 else 0.1
+    # Moment dispersion from the spread inside the two sides, so that the effect itself does not inflate it.
+    inside = sum(((y[x == side] - y[x == side].mean()) ** 2).sum() for side in np.unique(x)) / max(m - len(np.unique(x)), 1)
+    alpha = max(1e-8, (inside - mu0 * (1.0 / sf).mean()) / max(mu0 * mu0, 1e-12)) if m > 2 else 0.1
     design = np.column_stack([np.ones(m), x])
     beta = np.array([np.log(max(mu0, 1e-8)), 0.0])
     ridge = np.diag([1e-6, 1e-6])

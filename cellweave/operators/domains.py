@@ -60,39 +60,38 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return inside.crossJoin(square).select((F.col("_in") / F.col("_m") - resolution * F.col("_tt") / (F.col("_m") * F.col("_m"))).alias("modularity"))  # one-row sides
 
 
-def graph_communities(edges: DataFrame, resolution: float = 1.0, levels: int = 5, rounds: int = 8, seed: int = 42) -> DataFrame:
+def graph_communities(edges: DataFrame, resolution: float = 1.0, levels: int = 3, rounds: int = 4, seed: int = 42) -> DataFrame:
     """Modularity communities (cell_id, cluster) of a symmetric weighted graph.
 
     Each round moves half of the nodes, chosen by hash, to the neighbouring
     community of largest gain; each level then contracts the communities.
     """
-    graph = materialize(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
-    mapping = materialize(graph.select(F.col("src").alias("cell_id")).union(graph.select("dst")).distinct().withColumn("cluster", F.col("cell_id").cast("string")))
-    graph = materialize(graph.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight"))
+    first = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("weight").cast("double").alias("weight"))
+    graph = materialize(first)
+    mapping = edges.select(F.col("src").alias("cell_id")).union(edges.select("dst")).distinct().withColumn("cluster", F.col("cell_id").cast("string"))
     total = graph.agg(F.sum("weight")).first()[0] or 1.0
     for level in range(levels):
-        degree = materialize(graph.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("d")))
-        label = materialize(degree.select("node", F.col("node").alias("c")))
-        any_moved = False
+        # One row per node: degree and community.
+        state = materialize(graph.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("d")).withColumn("c", F.col("node")))
+        moved_ever = False
         for r in range(rounds):
-            load = degree.join(label, "node").groupBy("c").agg(F.sum("d").alias("tot"))
-            link = graph.filter("src <> dst").join(label.select(F.col("node").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("node"), "c").agg(F.sum("weight").alias("w"))
-            own = label.select("node", F.col("c").alias("home")).join(degree, "node")
-            options = link.unionByName(label.select("node", "c", F.lit(0.0).alias("w"))).groupBy("node", "c").agg(F.sum("w").alias("w"))
-            gain = options.join(own, "node").join(load, "c").withColumn(
-                "g", F.col("w") - resolution * F.col("d") * (F.col("tot") - F.when(F.col("c") == F.col("home"), F.col("d")).otherwise(0.0)) / total)
-            best = gain.groupBy("node", "home").agg(F.max_by("c", F.struct(F.round("g", 9), (F.col("c") == F.col("home")).alias("s"), "c")).alias("c"))
+            load = state.groupBy("c").agg(F.sum("d").alias("tot"))
+            pull = graph.filter("src <> dst").join(state.select(F.col("node").alias("dst"), "c"), "dst").select(F.col("src").alias("node"), "c", "weight")
+            options = pull.unionByName(state.select("node", "c", F.lit(0.0).alias("weight"))).groupBy("node", "c").agg(F.sum("weight").alias("w"))
+            others = F.col("tot") - F.when(F.col("c") == F.col("home"), F.col("d")).otherwise(0.0)
+            gain = options.join(state.select("node", "d", F.col("c").alias("home")), "node").join(load, "c").withColumn("g", F.col("w") - resolution * F.col("d") * others / total)
+            best = gain.groupBy("node", "d", "home").agg(F.max_by("c", F.struct(F.round("g", 9), (F.col("c") == F.col("home")).alias("s"), "c")).alias("best"))
             turn = F.pmod(F.xxhash64("node", F.lit(seed + level * 100 + r)), F.lit(2)) == 0
-            moved = materialize(best.select("node", F.when(turn, F.col("c")).otherwise(F.col("home")).alias("c"), (turn & (F.col("c") != F.col("home"))).alias("m")))
-            n_moved = moved.filter("m").count()
-            label = moved.select("node", "c")
-            any_moved = any_moved or n_moved > 0
-            if n_moved == 0 and r % 2 == 1:
+            state = materialize(best.select("node", "d", F.when(turn, F.col("best")).otherwise(F.col("home")).alias("c"), (F.col("best") != F.col("home")).alias("restless")))
+            restless = state.filter("restless").limit(1).count()
+            state = state.select("node", "d", "c")
+            if not restless:
                 break
-        if not any_moved:
+            moved_ever = True
+        if not moved_ever:
             break
-        mapping = materialize(mapping.join(label.select(F.col("node").alias("cluster"), "c"), "cluster").select("cell_id", F.col("c").alias("cluster")))
-        a, b = label.select(F.col("node").alias("src"), F.col("c").alias("_a")), label.select(F.col("node").alias("dst"), F.col("c").alias("_b"))
+        mapping = materialize(mapping.join(state.select(F.col("node").alias("cluster"), "c"), "cluster").select("cell_id", F.col("c").alias("cluster")))
+        a, b = state.select(F.col("node").alias("src"), F.col("c").alias("_a")), state.select(F.col("node").alias("dst"), F.col("c").alias("_b"))
         graph = materialize(graph.join(a, "src").join(b, "dst").groupBy(F.col("_a").alias("src"), F.col("_b").alias("dst")).agg(F.sum("weight").alias("weight")))
     return mapping
 

@@ -76,9 +76,9 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] =
     by = list(by)
     need = k + 1 if exclude_self else k
     sites = materialize(_sites(points, by, need))
-    places = queries.select(*by, "x", "y").distinct()
     sizes = _grid_sizes(sites, by, k)
-    open_places, found = materialize(places), None
+    open_places = sites.select(*by, "x", "y") if queries is points else materialize(queries.select(*by, "x", "y").distinct())
+    found = None
     for i, size in enumerate(sizes):
         last = i == len(sizes) - 1
         cell = _with_cell(sites.withColumnRenamed("x", "sx").withColumnRenamed("y", "sy").withColumn("x", F.col("sx")).withColumn("y", F.col("sy")), size).drop("x", "y")
