@@ -122,7 +122,7 @@ def aggregate_pairs(lr: DataFrame) -> DataFrame:
     )
 
 
-def signaling_roles(lr: DataFrame) -> DataFrame:
+def signaling_roles(lr: DataFrame, digits: int = 4) -> DataFrame:
     """Outgoing and incoming strength per cell type and the dominant role."""
     ends = lr.select(F.explode(F.array(
         F.struct(F.col("source").alias("cell_type"), F.lit(True).alias("out"), "score"), F.struct(F.col("target").alias("cell_type"), F.lit(False).alias("out"), "score")
@@ -133,7 +133,7 @@ def signaling_roles(lr: DataFrame) -> DataFrame:
     )
     role = F.when(F.col("_o") > F.col("_i") * 1.5, "sender").when(F.col("_i") > F.col("_o") * 1.5, "receiver").otherwise("balanced")
     return sums.select(
-        "cell_type", F.round("_o", 4).alias("sender_score"), F.round("_i", 4).alias("receiver_score"), F.round(F.col("_o") + F.col("_i"), 4).alias("hub_score"),
+        "cell_type", F.round("_o", digits).alias("sender_score"), F.round("_i", digits).alias("receiver_score"), F.round(F.col("_o") + F.col("_i"), digits).alias("hub_score"),
         role.alias("dominant_role"), "n_outgoing", "n_incoming",
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import stats as S
 from cellweave.operators import normalize
+from cellweave.session import materialize
 
 
 def rank_sums(values: DataFrame, labels: DataFrame, unit: str, feature: str, side: str, by: Sequence[str] = ()) -> DataFrame:
@@ -163,7 +164,7 @@ def wilcoxon_pseudobulk(bulk: DataFrame, design: DataFrame) -> DataFrame:
     """
     by = ["cluster", "contrast"]
     keyed = bulk.select(*by, "gene_id", "value", F.struct("cluster", "contrast", "sample").alias("cell_id"), "sample")
-    logs = normalize.log_cpm(keyed).select(*by, "sample", "gene_id", "value")
+    logs = materialize(normalize.log_cpm(keyed).select(*by, "sample", "gene_id", "value"))
     sums = rank_sums(logs, design, "sample", "gene_id", "side", by).filter("side = 'other'")
     sizes = design.groupBy(*by).agg(F.sum(F.when(F.col("side") == "other", 1).otherwise(0)).alias("n1"), F.sum(F.when(F.col("side") == "ref", 1).otherwise(0)).alias("n2"))
     moments = logs.join(design, [*by, "sample"]).groupBy(*by, "gene_id").agg(*[
@@ -245,8 +246,9 @@ def nb_glm_test(bulk: DataFrame, design: DataFrame, min_total: float = 10, min_s
 
 def condition_compare(expr, obs, sample: str, cluster: str, condition: str, reference, method: str = "wilcoxon") -> DataFrame:
     """Every cluster and condition against the reference in one job; the NB test falls back to ranks where samples are few."""
-    design = contrasts(obs, sample, cluster, condition, reference)
-    rows = testable_counts(pseudobulk(expr, obs, sample, cluster), design).drop("side")
+    design = materialize(contrasts(obs, sample, cluster, condition, reference))
+    # Pseudobulk is small next to the matrix and read by every later step.
+    rows = materialize(testable_counts(materialize(pseudobulk(expr, obs, sample, cluster)), design).drop("side"))
     ranks = wilcoxon_pseudobulk(rows, design).select("cluster", "contrast", "gene_id", "log_fc", "pvalue", "pvalue_adj", F.lit("wilcoxon").alias("method"))
     if method == "wilcoxon":
         return ranks

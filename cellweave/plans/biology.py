@@ -171,11 +171,11 @@ def cc_aggregate_pairs(spark, sf):
 
 
 @register("cc_signaling_roles", f"""{LR}, o AS (SELECT source AS cell_type, SUM(score) AS o, COUNT(*) AS n FROM lr GROUP BY 1), i AS (SELECT target AS cell_type, SUM(score) AS i, COUNT(*) AS n FROM lr GROUP BY 1)
- SELECT cell_type, round(coalesce(o, 0), 4) AS sender_score, round(coalesce(i, 0), 4) AS receiver_score, round(coalesce(o, 0) + coalesce(i, 0), 4) AS hub_score,
+ SELECT cell_type, round(coalesce(o, 0), 6) AS sender_score, round(coalesce(i, 0), 6) AS receiver_score, round(coalesce(o, 0) + coalesce(i, 0), 6) AS hub_score,
   CASE WHEN coalesce(o, 0) > coalesce(i, 0) * 1.5 THEN 'sender' WHEN coalesce(i, 0) > coalesce(o, 0) * 1.5 THEN 'receiver' ELSE 'balanced' END AS dominant_role, coalesce(o.n, 0) AS n_outgoing, coalesce(i.n, 0) AS n_incoming
  FROM o FULL JOIN i USING (cell_type)""")
 def cc_signaling_roles(spark, sf):
-    return cc.signaling_roles(lr(spark, sf))
+    return cc.signaling_roles(lr(spark, sf), 6)
 
 
 @register("cc_significant", f"{LR} SELECT ligand, receptor, source, target FROM lr WHERE pvalue < 0.05")
