@@ -383,3 +383,15 @@ def dedupe_insights(insights: DataFrame) -> DataFrame:
     """Newest insight per canonical entity."""
     keyed = insights.withColumn("canonical", canonical_entity(F.col("entity_type"), F.col("entity_id")))
     return top_per_group(keyed, ["entity_type", "canonical"], [F.desc("created_at"), "memory_id"], 1).drop("rank")
+
+
+def cluster_rules(analyses: DataFrame, insights: DataFrame, min_rules: int = 2) -> DataFrame:
+    """analyses(cluster_id, uri) and insights(memory_id, rule, positive_task_uris) -> rules per task cluster sharing a URI.
+
+    A null cluster counts as 0; clusters with fewer than ``min_rules`` insights drop out.
+    """
+    tasks = analyses.select(F.coalesce("cluster_id", F.lit(0)).alias("cluster_id"), "uri").distinct()
+    ruled = insights.filter(F.coalesce("rule", F.lit("")) != "").select("memory_id", "rule", F.explode("positive_task_uris").alias("uri"))
+    hits = ruled.join(tasks, "uri").select("cluster_id", "memory_id", "rule").distinct()
+    enough = hits.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_rules")).filter(F.col("n_rules") >= min_rules)
+    return hits.join(enough, "cluster_id")

@@ -342,3 +342,33 @@ def peak_gene_links(peaks: DataFrame, genes: DataFrame, window: int = 100_000) -
 
 def cluster_profile(expr: DataFrame, obs: DataFrame, groupby: str) -> DataFrame:
     return _group_means(expr, obs.select("cell_id", F.col(groupby).cast("string").alias("label")))
+
+
+def spatial_regulons(expr: DataFrame, obs: DataFrame, tfs: DataFrame, k: int = 15, top: int = 30, min_score: float = 0.1) -> DataFrame:
+    """Per factor the ``top`` genes by .5 |r| + .5 |mean local r|, those above ``min_score``.
+
+    A local r is taken over the k nearest cells (self included) of every cell in
+    whose window both genes vary; windows hold k cells, so every step is an
+    aggregate over a bounded neighbourhood.
+    """
+    from cellweave.operators.features import gene_stats
+
+    near = materialize(neighbors.knn_spatial(obs, k, include_self=True).select("src", "dst"))
+    spread = lambda s, q, n: n * F.col(q) - F.col(s) * F.col(s)
+    window = near.join(expr.withColumnRenamed("cell_id", "dst"), "dst").groupBy("src", "gene_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    window = materialize(window.filter(spread("s", "q", F.lit(float(k))) > 1e-9))
+    factor = window.join(tfs.select("gene_id"), "gene_id", "left_semi").select("src", F.col("gene_id").alias("tf"), F.col("s").alias("st"), F.col("q").alias("qt"))
+    a = expr.join(tfs.select("gene_id"), "gene_id", "left_semi").select("cell_id", F.col("gene_id").alias("tf"), F.col("value").alias("_a"))
+    product = materialize(a.join(expr, "cell_id").filter("tf <> gene_id").select("cell_id", "tf", "gene_id", (F.col("_a") * F.col("value")).alias("_ab")))
+    local = near.join(product.withColumnRenamed("cell_id", "dst"), "dst").groupBy("src", "tf", "gene_id").agg(F.sum("_ab").alias("_ab"))
+    pairs = factor.join(window, "src").filter("tf <> gene_id").join(local, ["src", "tf", "gene_id"], "left")
+    r_local = (k * F.coalesce("_ab", F.lit(0.0)) - F.col("st") * F.col("s")) / F.sqrt(spread("st", "qt", F.lit(float(k))) * spread("s", "q", F.lit(float(k))))
+    mean_local = pairs.groupBy("tf", "gene_id").agg(F.avg(r_local).alias("local_r"))
+    stats = gene_stats(expr, obs).select("gene_id", "n", "total", "sumsq")
+    whole = mean_local.join(product.groupBy("tf", "gene_id").agg(F.sum("_ab").alias("_ab")), ["tf", "gene_id"], "left")
+    whole = whole.join(stats.select(F.col("gene_id").alias("tf"), "n", F.col("total").alias("ta"), F.col("sumsq").alias("qa")), "tf").join(
+        stats.select("gene_id", F.col("total").alias("tb"), F.col("sumsq").alias("qb")), "gene_id")
+    den = F.sqrt(F.greatest(spread("ta", "qa", F.col("n")) * spread("tb", "qb", F.col("n")), F.lit(0.0)))
+    r = F.when(den > 0, (F.col("n") * F.coalesce("_ab", F.lit(0.0)) - F.col("ta") * F.col("tb")) / den).otherwise(0.0)
+    scored = whole.select("tf", "gene_id", r.alias("r"), "local_r").withColumn("score", 0.5 * F.abs("r") + 0.5 * F.abs("local_r"))
+    return top_per_group(scored, ["tf"], [F.round("score", 9).desc(), "gene_id"], top).filter(F.col("score") > min_score)

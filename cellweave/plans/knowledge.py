@@ -290,3 +290,17 @@ def tx_jaccard(spark, sf):
     c = t.load(spark, sf, "conversations").select("conv_id", "turn", tx.tokenize(F.col("text")).alias("w"))
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", r6(tx.jaccard(F.col("w"), F.col("v"))).alias("similarity"))
+
+
+@register("tx_classify_section", """SELECT page_id, CASE WHEN contains(h, 'method') OR contains(h, 'experimental') OR contains(h, 'data processing') OR contains(h, 'data analysis') OR contains(h, 'computational') OR contains(h, 'statistical analysis') OR contains(h, 'bioinformatics') OR contains(h, 'pipeline')
+  OR contains(h, 'preprocessing') OR contains(h, 'pre-processing') OR contains(h, 'implementation') OR contains(h, 'algorithm') OR contains(h, 'workflow') THEN 'methodology' WHEN contains(h, 'abstract') OR contains(h, 'introduction') OR contains(h, 'background') OR contains(h, 'conclusion') OR contains(h, 'summary') THEN 'abstract_conclusion'
+  WHEN contains(h, 'result') OR contains(h, 'discussion') OR contains(h, 'finding') OR contains(h, 'observation') OR contains(h, 'analysis') OR contains(h, 'comparison') OR contains(h, 'evaluation') OR contains(h, 'performance') OR contains(h, 'validation') THEN 'results_figs' ELSE 'other' END AS section FROM (SELECT page_id, lower(html) AS h FROM pages)""")
+def tx_classify_section(spark, sf):
+    return t.load(spark, sf, "pages").select("page_id", tx.classify_section(F.col("html")).alias("section"))
+
+
+@register("me_cluster_rules", """WITH tk AS (SELECT DISTINCT o_custkey % 50 AS cluster_id, o_orderkey % 1000 AS uri FROM orders), hit AS (SELECT DISTINCT cluster_id, event_id FROM events JOIN tk ON uri = user_id) SELECT cluster_id, COUNT(*) AS n_rules FROM hit GROUP BY 1 HAVING COUNT(*) >= 2""")
+def me_cluster_rules(spark, sf):
+    tasks = t.load(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("cluster_id"), (F.col("o_orderkey") % 1000).alias("uri"))
+    insights = t.load(spark, sf, "events").select(F.col("event_id").alias("memory_id"), F.col("event_type").alias("rule"), F.array("user_id").alias("positive_task_uris"))
+    return me.cluster_rules(tasks, insights).select("cluster_id", "n_rules").distinct()

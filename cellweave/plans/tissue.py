@@ -244,3 +244,17 @@ def rg_peak_gene_links(spark, sf):
 def p_value_bh(spark, sf):
     e = t.load(spark, sf, "events").select("event_id", "event_type", (1 / (1 + F.col("value"))).alias("p"))
     return S.bh_fdr(e, "p", ["event_type"], "q").select("event_id", r6("q").alias("q"))
+
+
+@register("rg_spatial_regulons", f"""WITH {t.SQL_CELLS}, {t.sql_edges(14)}, {t.SQL_LOGNORM}, {STATS % 'lognorm'}, {TOPVAR}, nb AS (SELECT src, dst FROM edges UNION ALL SELECT cell_id, cell_id FROM cells),
+ wn AS (SELECT src, gene_id, SUM(value) AS s, SUM(value * value) AS q FROM nb JOIN lognorm ON cell_id = dst GROUP BY 1, 2 HAVING 15 * SUM(value * value) - SUM(value) * SUM(value) > 1e-9),
+ pr AS (SELECT a.cell_id, a.gene_id AS tf, b.gene_id, a.value * b.value AS ab FROM lognorm a JOIN topvar USING (gene_id) JOIN lognorm b ON a.cell_id = b.cell_id AND a.gene_id <> b.gene_id),
+ lo AS (SELECT src, tf, gene_id, SUM(ab) AS ab FROM nb JOIN pr ON cell_id = dst GROUP BY 1, 2, 3), fa AS (SELECT src, gene_id AS tf, s AS st, q AS qt FROM wn JOIN topvar USING (gene_id)),
+ ml AS (SELECT fa.tf, wn.gene_id, AVG((15 * coalesce(ab, 0) - st * s) / sqrt((15 * qt - st * st) * (15 * q - s * s))) AS lr FROM fa JOIN wn ON wn.src = fa.src AND wn.gene_id <> fa.tf LEFT JOIN lo ON lo.src = fa.src AND lo.tf = fa.tf AND lo.gene_id = wn.gene_id GROUP BY 1, 2),
+ gl AS (SELECT tf, gene_id, SUM(ab) AS ab FROM pr GROUP BY 1, 2), sc AS (SELECT ml.tf, ml.gene_id, lr, (x.n * coalesce(ab, 0) - x.total * y.total) / sqrt((x.n * x.sumsq - x.total * x.total) * (y.n * y.sumsq - y.total * y.total)) AS r FROM ml LEFT JOIN gl USING (tf, gene_id) JOIN gstats x ON x.gene_id = ml.tf JOIN gstats y ON y.gene_id = ml.gene_id),
+ rk AS (SELECT *, 0.5 * abs(r) + 0.5 * abs(lr) AS score, row_number() OVER (PARTITION BY tf ORDER BY round(0.5 * abs(r) + 0.5 * abs(lr), 9) DESC, gene_id) AS rank FROM sc)
+ SELECT tf, gene_id, {t.r6_sql('score')} AS score, rank FROM rk WHERE rank <= 30 AND score > 0.01""")
+def rg_spatial_regulons(spark, sf):
+    expr, obs = t.lognorm(spark, sf), t.cells(spark, sf)
+    g = ti.spatial_regulons(expr, obs, features.top_variance_genes(expr, obs), 15, 30, 0.01)
+    return g.select("tf", "gene_id", r6("score").alias("score"), "rank")
