@@ -156,7 +156,7 @@ def suggest_n_pcs(ratios: list[float] | None, threshold: float = 0.85) -> int:
 def lsi(expr: DataFrame, obs: DataFrame, n_comps: int = 20, per: str = "column") -> DataFrame:
     """TF-IDF, L1, log, truncated SVD; standardised per column or per row, first component dropped."""
     from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+    from pyspark.mllib.linalg.distributed import IndexedRowMatrix
 
     from cellweave.operators import normalize
 
@@ -170,9 +170,9 @@ def lsi(expr: DataFrame, obs: DataFrame, n_comps: int = 20, per: str = "column")
         .agg(F.collect_list(F.struct((F.col("_col") - 1).cast("int").alias("c"), F.col("value").alias("v"))).alias("_nz"))
         .select("cell_id", F.array_sort("_nz").alias("_nz"))
     )
-    # The iterative solver reads the rows many times: they are written once and kept near the executors.
-    rows = materialize(rows)
-    matrix = IndexedRowMatrix(rows.rdd.map(lambda r: IndexedRow(r["cell_id"], Vectors.sparse(size, [p["c"] for p in r["_nz"]], [p["v"] for p in r["_nz"]]))).persist(StorageLevel.MEMORY_AND_DISK))
+    # The iterative solver reads the rows many times: vectors are built once and then stay on the JVM side.
+    vectors = rows.rdd.map(lambda r: (r["cell_id"], Vectors.sparse(size, [p["c"] for p in r["_nz"]], [p["v"] for p in r["_nz"]]))).toDF(["index", "vector"])
+    matrix = IndexedRowMatrix(materialize(vectors).persist(StorageLevel.MEMORY_AND_DISK))
     k = max(2, min(n_comps + 1, size - 1, n - 1))
     svd = matrix.computeSVD(k, computeU=True)
     scale = [float(s) for s in svd.s]

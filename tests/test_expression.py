@@ -136,3 +136,17 @@ def test_merge_and_pair(spark):
         datasets.merge_samples([(a, obs), (a, obs)], ["s", "s"])
     with pytest.raises(ValueError):
         datasets.pair_modalities(obs, obs.withColumn("cell_id", F.lit(9)))
+
+
+def test_lsi_matches_a_dense_svd(planted):
+    dense, expr, obs = planted
+    binary = (dense > 0).astype(float)
+    tf = binary / binary.sum(1, keepdims=True)
+    weights = tf * np.log(60 / (tf.sum(0) + 1e-10))
+    logged = np.log1p(1e4 * weights / np.abs(weights).sum(1, keepdims=True))
+    u, s, _ = np.linalg.svd(logged, full_matrices=False)
+    scores = (u * s)[:, 1:4]
+    scores = (scores - scores.mean(0)) / scores.std(0)
+    got = {r["cell_id"]: r["vec"] for r in features.lsi(expr, obs, 3).collect()}
+    mat = np.array([got[i] for i in range(60)])
+    assert np.abs((mat * scores).mean(0)) == pytest.approx(np.ones(3), abs=1e-6)
