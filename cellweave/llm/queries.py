@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import mixing, packing, quality_rules, sharding, simhash, token_counts, url_filter
+from cellweave.llm import embedding, mixing, packing, quality_knn, quality_rules, sharding, simhash, token_counts, url_filter
 from cellweave.llm.common import load, small_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op8_multi_index_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
+@register("op10_quality_knn")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
