@@ -97,3 +97,9 @@ def ablations(book: DataFrame, policy: str | Sequence[str] = "v1", rules: Mappin
     return each.groupBy(F.col("rule.rule").alias("rule")).agg(
         count(F.col("bits").bitwiseAND(bit) != 0).alias("failed"), count(F.col("bits") == bit).alias("only"),
         count(F.col("bits").bitwiseAND(F.bitwise_not(bit)) == 0).alias("kept_without"))
+
+
+def keep(docs: DataFrame, text: str = "text", policy: str | Sequence[str] = "v1") -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, with all their columns, whatever these are called."""
+    body = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
+    return ledger(body, "_text").filter(~rejects(mask_of(policy))).select("_row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import embedding, mixing, packing, quality_knn, quality_rules, sharding, simhash, token_counts, url_filter
+from cellweave.llm import embedding, language, mixing, packing, quality_knn, quality_rules, sharding, simhash, token_counts, url_filter
 from cellweave.llm.common import load, small_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_quality_knn")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@register("op6_language_evidence")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(load(spark, sf_dir, "pages"), language.fit(load(spark, sf_dir, "documents")))
