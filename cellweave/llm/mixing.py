@@ -90,8 +90,9 @@ def repeat_rows(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame
     """
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     taken = mix(docs, doc_id=doc_id, **options).groupBy(key("doc_id").alias("_id")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    joined = docs.withColumn("_id", key(doc_id)).join(taken.filter("_copies > 0"), "_id")
+    whole = docs.select(F.struct("*").alias("_row"), key(doc_id).alias("_id"))  # whatever the columns are called
+    joined = whole.join(taken.filter("_copies > 0"), "_id")
     row = F.row_number().over(Window.partitionBy("_id").orderBy(F.lit(1)))
     step = lambda r: F.floor(r * F.col("_copies") / F.col("_rows"))
     joined = joined.withColumn("_r", row).withColumn("_times", (step(F.col("_r")) - step(F.col("_r") - 1)).cast("int")).filter("_times > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")

@@ -157,3 +157,9 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     voters = fit(docs, labels, doc_id, text, **options)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return scored(rows, voters).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, voters: Voters, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` predicted to be of label 1, with all their columns, whatever these are called."""
+    whole = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
+    return scored(whole, voters, "_text", "_score").filter("_score >= 0.5").select("_row.*")

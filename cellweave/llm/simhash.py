@@ -210,5 +210,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The row of each component's smallest doc_id (one of its repeated rows); without ids: nothing is known, all stay."""
     firsts = near_duplicates(docs, doc_id=doc_id, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.join(firsts, docs[doc_id] == firsts["_kept"]).select(*docs.columns).dropDuplicates([doc_id])
+    whole = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"))  # whatever the columns are called
+    known = whole.join(firsts, F.col("_id") == F.col("_kept")).dropDuplicates(["_id"]).select("_row.*")
     return known.unionByName(docs.filter(F.col(doc_id).isNull()))
