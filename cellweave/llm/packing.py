@@ -8,8 +8,12 @@ their places by their number among the pieces of their length.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -17,31 +21,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import gapless, materialize, small_table
-
-#: Words whose ids a Python worker keeps; beyond that it starts anew.
-WORDS_KEPT = 400_000
+from cellweave.llm.token_counts import byte_letters
+
+#: Words whose ids a Python worker keeps; beyond that the older half goes.
+WORDS_KEPT = 700_000
+#: Words of these characters alone are split and lower-cased here as the library would; they need no
+#: normalisation, and all of them beyond ASCII are letters.
+PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+#: The pieces of the tokenizer, over those characters in lower case.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u017f]+|[0-9]|[^a-z0-9\u00c0-\u017f]+")
 _ENCODERS: dict[str, "WordIds"] = {}
 
 
 class WordIds:
-    """Ids of texts, word by word: no piece of this kind of tokenizer reaches over ASCII blanks, which it drops."""
+    """Ids of texts, word by word: no piece of this kind of tokenizer reaches over ASCII blanks, which it drops.
+
+    A word new to the worker goes to the library's model by its pieces, whose ids are kept too; words
+    with other characters, or with a special string in them, go through the library as a whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.special = [t["content"] for t in json.load(open(path, encoding="utf-8"))["added_tokens"]]
+        self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
         self.ids: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        if (ids := self.pieces.get(piece)) is None:
+            found = self.library.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))
+            ids = self.pieces[piece] = array("I", [t.id for t in found]).tobytes()
+        return ids
+
+    def _learn(self, words: list[bytes]) -> None:
+        other = []
+        for word in words:
+            text = word.decode("utf-8", "surrogatepass")
+            if PLAIN.fullmatch(text) and not ("<|" in text and any(s in text for s in self.special)):
+                self.ids[word] = b"".join([self._piece(x) for x in PIECES.findall(text.lower())])
+            else:
+                other.append((word, text))
+        for at in range(0, len(other), 20_000):
+            part = other[at:at + 20_000]
+            got = self.library.encode_batch_fast([text for _, text in part], add_special_tokens=False)
+            self.ids.update((word, array("I", e.ids).tobytes()) for (word, _), e in zip(part, got, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         if len(self.ids) > WORDS_KEPT:
-            self.ids = {}
-        new = list(set().union(*words).difference(self.ids)) if words else []
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            got = self.library.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)
-            self.ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
+            self.ids = dict(islice(self.ids.items(), len(self.ids) // 2, None))
+        if len(self.pieces) > WORDS_KEPT // 2:
+            self.pieces = {}
+        self._learn(list(set().union(*words).difference(self.ids)))
         find = self.ids.__getitem__
         return [b"".join(map(find, w)) for w in words]
 

@@ -34,7 +34,7 @@ BIAS, EMPTY = 128, -1
 START, DEAD = -1, -2
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in a byte-level vocabulary: itself if printable Latin-1, else from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -53,7 +53,7 @@ class Transducer:
         self.library = Tokenizer.from_file(path)
         config = json.load(open(path, encoding="utf-8"))
         self.special = [t["content"] for t in config["added_tokens"]]
-        letters = _byte_letters()
+        letters = byte_letters()
         back = {c: b for b, c in letters.items()}
         self.letters = [letters[b] for b in range(256)]
         self.tokens = {bytes(back[c] for c in t): i for t, i in config["model"]["vocab"].items() if t not in self.special}
