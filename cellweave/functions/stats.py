@@ -18,7 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from cellweave.session import materialize
+
 BUCKETS_PER_OCTAVE = 64
+#: Equal parts of the range that the values inside one such bucket really have.
+PARTS = 1024
 
 
 def r6(column: Column | str, digits: int = 6) -> Column:
@@ -149,11 +153,27 @@ def value_bucket(value: Column) -> Column:
     return F.when(value == 0, F.lit(0)).when(value > 0, magnitude).otherwise(-magnitude).cast("long")
 
 
+def range_buckets(distinct: DataFrame, value: str, out: str = "_bucket") -> DataFrame:
+    """Add ``out``, which never decreases as ``value`` grows and follows the data.
+
+    Values of one :func:`value_bucket` (all of them, for epoch times or other values far from zero) are
+    cut again into equal parts of the range they really have.  The table of ranges has at most one row
+    for each value bucket, whatever the size of the data.
+    """
+    coarse = value_bucket(F.col(value))
+    ranges = distinct.groupBy(coarse.alias("_coarse")).agg(F.min(value).alias("_from"), F.max(value).alias("_to"))
+    joined = distinct.withColumn("_at", coarse).join(ranges, F.col("_at").eqNullSafe(F.col("_coarse")))
+    part = F.least(F.lit(PARTS - 1), F.floor((F.col(value) - F.col("_from")) / (F.col("_to") - F.col("_from")) * PARTS))
+    fine = F.when(F.col("_to") > F.col("_from"), part).otherwise(F.lit(0)).cast("long")
+    return joined.withColumn(out, F.col("_at") * PARTS + fine).drop("_at", "_coarse", "_from", "_to")
+
+
 def cumulative_counts(df: DataFrame, by: Sequence[str], value: str, bucket: Column | None = None) -> DataFrame:
     """Distinct (by, value) with ``n_ties`` rows at the value and ``n_before`` rows below it."""
     by = list(by)
-    bucket = value_bucket(F.col(value)) if bucket is None else bucket
-    distinct = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_ties")).withColumn("_bucket", bucket)
+    distinct = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_ties"))
+    distinct = materialize(distinct) if bucket is None else distinct  # read four times below
+    distinct = range_buckets(distinct, value) if bucket is None else distinct.withColumn("_bucket", bucket)
     inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = distinct.groupBy(*by, "_bucket").agg(F.sum("n_ties").alias("_n")).select(
@@ -195,7 +215,6 @@ def bh_fdr(df: DataFrame, p: str, by: Sequence[str] = (), out: str = "qval") ->
     The reverse running minimum is taken inside value buckets and then over the
     bucket summary, so no group is sorted whole in one task.
     """
-    from cellweave.session import materialize
 
     by = list(by)
     df = materialize(df)  # a test table is small next to what it was computed from, and is read several times

@@ -106,6 +106,8 @@ def _solve_nnls(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
             x[~active] = 0.0
             if not active.any():
                 break
+    else:
+        raise RuntimeError("the active set did not settle")
     return x
 
 

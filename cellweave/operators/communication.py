@@ -14,8 +14,7 @@ from cellweave.session import materialize
 
 
 def curated_pairs(spark: SparkSession, species: str = "human") -> DataFrame:
-    text = LR_PAIRS.get(species, LR_PAIRS["human"])
-    return spark.createDataFrame([tuple(p.split(":")) for p in text.split()], "ligand string, receptor string")
+    return spark.createDataFrame(list(LR_PAIRS.get(species, LR_PAIRS["human"])), "ligand string, receptor string")
 
 
 def resolve_lr_pairs(pairs: DataFrame, var: DataFrame) -> DataFrame:
@@ -116,7 +115,7 @@ def consensus_rank(expr: DataFrame, obs: DataFrame, pairs: DataFrame, groupby: s
 
 def aggregate_pairs(lr: DataFrame) -> DataFrame:
     """Per (source, target): number, mean score and best ligand-receptor (ties by name)."""
-    best = F.max_by(F.struct("ligand", "receptor"), F.struct("score", -F.xxhash64("ligand", "receptor")))
+    best = F.min_by(F.struct("ligand", "receptor"), F.struct(-F.col("score"), "ligand", "receptor"))
     return lr.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n_interactions"), F.avg("score").alias("mean_score"), best.alias("_b")).select(
         "source", "target", "n_interactions", "mean_score", F.col("_b.ligand").alias("top_ligand"), F.col("_b.receptor").alias("top_receptor")
     )

@@ -25,22 +25,24 @@ def kmeans(embedding: DataFrame, k: int, seed: int = 42) -> DataFrame:
 
 
 def gmm(embedding: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """Full-covariance Gaussian mixture; k-means where the fit fails."""
+    """(cell_id, cluster, method): full-covariance Gaussian mixture; k-means, and said so, where a covariance is singular."""
     rows = _vectors(embedding)
     try:
-        return GaussianMixture(k=k, seed=seed).fit(rows).transform(rows).select("cell_id", F.col("prediction").cast("long").alias("cluster"))
-    except Exception:  # noqa: BLE001 - a singular covariance is reported by the solver as a job error
-        return kmeans(embedding, k, seed)
+        found = GaussianMixture(k=k, seed=seed).fit(rows).transform(rows).select("cell_id", F.col("prediction").cast("long").alias("cluster"))
+    except Exception as error:  # the solver reports a singular covariance as a job error
+        if "singular value" not in str(error):
+            raise
+        return kmeans(embedding, k, seed).withColumn("method", F.lit("kmeans"))
+    return found.withColumn("method", F.lit("gmm"))
 
 
-def estimate_k_silhouette(embedding: DataFrame, max_k: int = 20, sample: int = 2000, seed: int = 42) -> int:
-    """Best k from 2 to min(max_k, n/10, n-1) by silhouette on a hash sample; min(7, n) when there is no choice."""
+def estimate_k_silhouette(embedding: DataFrame, max_k: int = 20, seed: int = 42) -> int:
+    """Best k from 2 to min(max_k, n/10, n-1) by the silhouette of all rows, which is linear in them; min(7, n) when there is no choice."""
     n = embedding.count()
     upper = min(max_k, n // 10, n - 1)
     if upper < 2:
         return min(7, n)
-    rows = embedding if n <= sample else embedding.orderBy(F.xxhash64("cell_id", F.lit(seed))).limit(sample)
-    rows = materialize(_vectors(rows))
+    rows = materialize(_vectors(embedding))
     scorer = ClusteringEvaluator()
     scores = {}
     for k in range(2, upper + 1):
@@ -60,36 +62,61 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return inside.crossJoin(square).select((F.col("_in") / F.col("_m") - resolution * F.col("_tt") / (F.col("_m") * F.col("_m"))).alias("modularity"))  # one-row sides
 
 
-def graph_communities(edges: DataFrame, resolution: float = 1.0, levels: int = 3, rounds: int = 4, seed: int = 42) -> DataFrame:
+def _quality(graph: DataFrame, state: DataFrame, total: float, resolution: float) -> float:
+    """Modularity of state(node, d, c) on a graph whose weights sum to ``total``."""
+    a, b = state.select(F.col("node").alias("src"), F.col("c").alias("_a")), state.select(F.col("node").alias("dst"), F.col("c").alias("_b"))
+    inside = graph.join(a, "src").join(b, "dst").filter("_a = _b").agg(F.sum("weight")).first()[0] or 0.0
+    square = state.groupBy("c").agg(F.sum("d").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0] or 0.0
+    return inside / total - resolution * square / total**2
+
+
+def graph_communities(edges: DataFrame, resolution: float = 1.0, seed: int = 42, gain: float = 1e-5) -> DataFrame:
     """Modularity communities (cell_id, cluster) of a symmetric weighted graph.
 
     Each round moves half of the nodes, chosen by hash, to the neighbouring
-    community of largest gain; each level then contracts the communities.
+    community of largest gain; each level then contracts the communities.  A
+    level ends when no node wants to move or four rounds bring less than
+    ``gain`` of modularity, the search when a level does; since modularity
+    is at most 1, both end.
     """
     first = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("weight").cast("double").alias("weight"))
     graph = materialize(first)
     mapping = edges.select(F.col("src").alias("cell_id")).union(edges.select("dst")).distinct().withColumn("cluster", F.col("cell_id").cast("string"))
     total = graph.agg(F.sum("weight")).first()[0] or 1.0
-    for level in range(levels):
+    level, reached = -1, None
+    while True:
+        level += 1
         # One row per node: degree and community.
         state = materialize(graph.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("d")).withColumn("c", F.col("node")))
-        moved_ever = False
-        for r in range(rounds):
+        start = best_state = state
+        best_quality = before = _quality(graph, state, total, resolution)
+        if reached is None:
+            reached = best_quality
+        r = -1
+        while True:
+            r += 1
             load = state.groupBy("c").agg(F.sum("d").alias("tot"))
             pull = graph.filter("src <> dst").join(state.select(F.col("node").alias("dst"), "c"), "dst").select(F.col("src").alias("node"), "c", "weight")
             options = pull.unionByName(state.select("node", "c", F.lit(0.0).alias("weight"))).groupBy("node", "c").agg(F.sum("weight").alias("w"))
             others = F.col("tot") - F.when(F.col("c") == F.col("home"), F.col("d")).otherwise(0.0)
-            gain = options.join(state.select("node", "d", F.col("c").alias("home")), "node").join(load, "c").withColumn("g", F.col("w") - resolution * F.col("d") * others / total)
-            best = gain.groupBy("node", "d", "home").agg(F.max_by("c", F.struct(F.round("g", 9), (F.col("c") == F.col("home")).alias("s"), "c")).alias("best"))
+            gains = options.join(state.select("node", "d", F.col("c").alias("home")), "node").join(load, "c").withColumn("g", F.col("w") - resolution * F.col("d") * others / total)
+            best = gains.groupBy("node", "d", "home").agg(F.max_by("c", F.struct(F.round("g", 9), (F.col("c") == F.col("home")).alias("s"), "c")).alias("best"))
             turn = F.pmod(F.xxhash64("node", F.lit(seed + level * 100 + r)), F.lit(2)) == 0
             state = materialize(best.select("node", "d", F.when(turn, F.col("best")).otherwise(F.col("home")).alias("c"), (F.col("best") != F.col("home")).alias("restless")))
             restless = state.filter("restless").limit(1).count()
             state = state.select("node", "d", "c")
-            if not restless:
+            if restless and r % 4 != 3:
+                continue
+            quality = _quality(graph, state, total, resolution)
+            if quality > best_quality:
+                best_quality, best_state = quality, state
+            if not restless or quality - before < gain:
                 break
-            moved_ever = True
-        if not moved_ever:
+            before = quality
+        state = best_state
+        if state is start or best_quality - reached < gain:
             break
+        reached = best_quality
         mapping = materialize(mapping.join(state.select(F.col("node").alias("cluster"), "c"), "cluster").select("cell_id", F.col("c").alias("cluster")))
         a, b = state.select(F.col("node").alias("src"), F.col("c").alias("_a")), state.select(F.col("node").alias("dst"), F.col("c").alias("_b"))
         graph = materialize(graph.join(a, "src").join(b, "dst").groupBy(F.col("_a").alias("src"), F.col("_b").alias("dst")).agg(F.sum("weight").alias("weight")))

@@ -72,39 +72,49 @@ def best_path(aliases: DataFrame, ctx_domain: str, ctx_path: str) -> DataFrame:
 
 def all_paths(edges: DataFrame, paths: DataFrame, domain: str | None = None) -> DataFrame:
     rows = paths if domain is None else paths.filter(F.col("domain") == domain)
-    return rows.join(edges.select(F.col("id").alias("edge_id"), "name", "priority"), "edge_id").select("domain", "path", "name", "priority").dropDuplicates(["domain", "path"])
+    return rows.join(edges.select(F.col("id").alias("edge_id"), "name", "priority"), "edge_id").groupBy("domain", "path").agg(
+        F.min(F.struct("priority", "name")).alias("_first")).select("domain", "path", "_first.name", "_first.priority")
 
 
 def next_child_number(edges: DataFrame) -> DataFrame:
     return edges.groupBy("parent_uuid").agg((F.coalesce(F.max(F.col("name").try_cast("int")), F.lit(0)) + 1).alias("next_number"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """starts(start, node_uuid) closed over parent -> child edges, with the hop count."""
+def reachable(edges: DataFrame, starts: DataFrame, hops: int | None = None) -> DataFrame:
+    """starts(start, node_uuid) closed over parent -> child edges, with the hop count; ``hops`` bounds the search if given."""
     links = edges.select("parent_uuid", "child_uuid").distinct()
     seen = frontier = materialize(starts.select("start", "node_uuid", F.lit(0).alias("hops")))
-    for hop in range(1, max_rounds + 1):
+    hop = 0
+    while hops is None or hop < hops:
+        hop += 1
         step = frontier.join(links, F.col("node_uuid") == F.col("parent_uuid")).select("start", F.col("child_uuid").alias("node_uuid")).distinct()
         frontier = materialize(step.join(seen, ["start", "node_uuid"], "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if hop % 16 == 0:
+            seen = materialize(seen)
     return seen
 
 
-def would_create_cycle(edges: DataFrame, proposals: DataFrame) -> DataFrame:
-    """proposals(parent_uuid, child_uuid) with a flag: the parent is reachable from the child."""
+def would_create_cycle(edges: DataFrame, proposals: DataFrame, root: str | None = None) -> DataFrame:
+    """proposals(parent_uuid, child_uuid) with a flag: the parent is reachable from the child.
+
+    A proposal under the ``root`` node is always allowed.
+    """
     closure = reachable(edges, proposals.select(F.col("child_uuid").alias("start"), F.col("child_uuid").alias("node_uuid")).distinct())
     back = closure.select(F.col("start").alias("child_uuid"), F.col("node_uuid").alias("parent_uuid"), F.lit(True).alias("cycle"))
-    return proposals.join(back, ["parent_uuid", "child_uuid"], "left").na.fill(False, ["cycle"])
+    flagged = proposals.join(back, ["parent_uuid", "child_uuid"], "left").na.fill(False, ["cycle"])
+    return flagged if root is None else flagged.withColumn("cycle", F.col("cycle") & ~F.col("parent_uuid").eqNullSafe(F.lit(root)))
 
 
-def materialize_paths(edges: DataFrame, roots: DataFrame, existing: DataFrame, max_depth: int = 100) -> DataFrame:
+def materialize_paths(edges: DataFrame, roots: DataFrame, existing: DataFrame) -> DataFrame:
     """roots(domain, path, node_uuid) -> new (domain, path, edge_id) of all descendants; a path never revisits a node."""
     links = edges.select(F.col("id").alias("edge_id"), "parent_uuid", "child_uuid", "name")
     frontier = materialize(roots.select("domain", "path", "node_uuid", F.array("node_uuid").alias("_trail")))
-    found = None
-    for _ in range(max_depth):
+    found, depth = None, 0
+    while True:
+        depth += 1
         step = frontier.join(links, F.col("node_uuid") == F.col("parent_uuid")).filter(~F.array_contains("_trail", F.col("child_uuid")))
         frontier = materialize(step.select(
             "domain", F.when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws("/", "path", "name")).alias("path"), F.col("child_uuid").alias("node_uuid"),
@@ -113,6 +123,8 @@ def materialize_paths(edges: DataFrame, roots: DataFrame, existing: DataFrame, m
             break
         new = frontier.select("domain", "path", "edge_id")
         found = new if found is None else found.unionByName(new)
+        if depth % 16 == 0:
+            found = materialize(found)
         frontier = frontier.drop("edge_id")
     if found is None:
         return existing.select("domain", "path", "edge_id").limit(0)
@@ -395,3 +407,49 @@ def cluster_rules(analyses: DataFrame, insights: DataFrame, min_rules: int = 2)
     hits = ruled.join(tasks, "uri").select("cluster_id", "memory_id", "rule").distinct()
     enough = hits.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_rules")).filter(F.col("n_rules") >= min_rules)
     return hits.join(enough, "cluster_id")
+
+
+# Limits of a preference, words its key may hold, and marks of facts in its value.
+PREFERENCE_LIMITS = {"key": 64, "value": 120, "tokens": 16}
+PREFERENCE_WORDS = (
+    "citation", "dpi", "explanation", "figure", "format", "language", "markdown", "method", "model", "palette",
+    "provider", "resolution", "response", "style", "theme", "timezone", "tone", "verbosity", "workflow",
+)
+PREFERENCE_STARTS = ("current_", "default_", "preferred_")
+FACT_MARKS = ("\n", "\r", "http://", "https://", "```", ".h5ad", ".h5mu", ".csv", ".tsv", ".txt", ".json", ".png", ".pdf", "/", "\\")
+
+
+def validate_preferences(preferences: DataFrame) -> DataFrame:
+    """preferences(key, value) with normalised columns, ``valid`` and the first ``reason`` against it."""
+    key = F.regexp_replace(F.translate(F.lower(F.trim(F.coalesce("key", F.lit("")))), "- ", "__"), "_+", "_")
+    rows = preferences.withColumn("norm_key", F.regexp_replace(key, "^_+|_+$", "")).withColumn("norm_value", F.trim(F.regexp_replace(F.coalesce("value", F.lit("")), r"\s+", " ")))
+    stems = F.split("norm_key", "_")
+    named = F.arrays_overlap(stems, F.array(*[F.lit(w) for w in PREFERENCE_WORDS])) | F.regexp_like("norm_key", F.lit("^(?:" + "|".join(PREFERENCE_STARTS) + ")"))
+    lower = F.lower("norm_value")
+    factual = F.lit(False)
+    for mark in FACT_MARKS:
+        factual = factual | F.contains(lower, F.lit(mark))
+    reason = (
+        F.when(F.col("norm_key") == "", "empty key").when(F.length("norm_key") > PREFERENCE_LIMITS["key"], "long key").when(~named, "not a tendency")
+        .when(F.col("norm_value") == "", "empty value").when(F.length("norm_value") > PREFERENCE_LIMITS["value"], "long value")
+        .when(F.size(F.split("norm_value", " ")) > PREFERENCE_LIMITS["tokens"], "many words").when(factual, "fact-like value")
+    )
+    return rows.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
+
+
+def targeted_context(queries: DataFrame, latest: DataFrame, terms: int = 5) -> DataFrame:
+    """Memories to show for queries(query_id, session_id, query) that ask to recall or to go on.
+
+    ``latest(memory_id, session_id, memory_type, created_at, text)``: the newest dataset and analysis of
+    the session first, then at most ``terms`` distinct memories of it that hold a focus term of the query,
+    newest first.  Rows: (query_id, memory_id, why, position).
+    """
+    intent = tx.classify_intent(F.col("query"))
+    asking = queries.withColumn("_i", intent).filter("_i.recall or _i.continuation").select("query_id", "session_id", tx.focus_terms(F.col("query")).alias("focus"))
+    newest = top_per_group(latest.filter(F.col("memory_type").isin("dataset", "analysis")), ["session_id", "memory_type"], [F.desc("created_at"), "memory_id"], 1).drop("rank")
+    first = asking.join(newest, "session_id").select("query_id", "memory_id", F.concat(F.lit("newest "), "memory_type").alias("why"), F.when(F.col("memory_type") == "dataset", 1).otherwise(2).alias("position"))
+    words = asking.select("query_id", "session_id", F.explode("focus").alias("term"))
+    hits = words.join(latest, "session_id").filter(F.contains(F.lower("text"), "term")).groupBy("query_id", "memory_id").agg(F.max("created_at").alias("created_at"))
+    others = hits.join(first.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
+    ranked = top_per_group(others, ["query_id"], [F.desc("created_at"), "memory_id"], terms)
+    return first.unionByName(ranked.select("query_id", "memory_id", F.lit("focus term").alias("why"), (F.col("rank") + 2).cast("int").alias("position")))

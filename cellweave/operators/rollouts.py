@@ -6,6 +6,7 @@ aggregated and joined back, so that one large prompt group is combined map-side.
 
 from __future__ import annotations
 
+import itertools
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -437,7 +438,7 @@ def balance_partitions(df: DataFrame, k: int, length: str = "n_tokens", key: str
     gathering it.
     """
     by = [batch] if batch else []
-    keyed = df.withColumn("_b", S.value_bucket(F.col(length).cast("double")))
+    keyed = S.range_buckets(df, length, "_b")
     inside = Window.partitionBy(*by, "_b", "_s").orderBy(F.desc(length), key)
     salted = keyed.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(64)))
     across = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("_b"), "_s").rowsBetween(Window.unboundedPreceding, -1)
@@ -478,11 +479,19 @@ def build_doc_pool(qa: DataFrame) -> tuple[DataFrame, DataFrame]:
 def sample_distractors(questions: DataFrame, pool: DataFrame, num_docs: int, seed: int = 42) -> DataFrame:
     """Each question's documents filled up to num_docs with hash-drawn ones, shuffled, evidence remapped.
 
-    Draws are pool indices by hash, over-drawn and de-duplicated, so no question meets the whole pool.
+    Each question walks the pool in an order of its own, i -> (a i + b) mod p for a prime p from the
+    pool's size on, which meets every index once; so it always gets enough and never the whole pool.
+    A pool with fewer than ``num_docs`` documents is an error.
     """
-    size = pool.agg(F.count(F.lit(1)).alias("_n"))
-    draws = F.transform(F.sequence(F.lit(0), F.lit(4 * num_docs)), lambda i: F.pmod(F.xxhash64(F.col("id"), i, F.lit(seed)), F.col("_n")))
-    picked = questions.crossJoin(size).withColumn(  # one-row side
+    size = pool.count()
+    if size < num_docs:
+        raise ValueError(f"the pool has {size} documents, {num_docs} are asked for")
+    prime = next(p for p in itertools.count(max(size, 2)) if all(p % q for q in range(2, int(p**0.5) + 1)))
+    step = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(prime - 1)) + 1
+    first = F.pmod(F.xxhash64(F.col("id"), F.lit(seed + 2)), F.lit(prime))
+    walk = F.transform(F.sequence(F.lit(0), F.least(F.lit(prime - 1), num_docs + F.size("evidence") + prime - size)).cast("array<bigint>"), lambda i: F.pmod(step * i + first, F.lit(prime)))
+    draws = F.filter(walk, lambda d: d < size)
+    picked = questions.withColumn(
         "_docs", F.slice(F.concat("evidence", F.array_except(F.array_distinct(draws), "evidence")), 1, num_docs)
     )
     order = F.transform(F.array_sort(F.transform("_docs", lambda d: F.struct(F.xxhash64(F.col("id"), d, F.lit(seed + 1)).alias("h"), d.alias("d")))), lambda s: s["d"])

@@ -347,7 +347,7 @@ def degree_by_cluster(edges: DataFrame, obs: DataFrame, cluster: str) -> DataFra
     return per_node.groupBy(cluster).agg(F.count(F.lit(1)).alias("n_nodes"), F.avg("degree").alias("mean_degree"))
 
 
-def centrality(edges: DataFrame, obs: DataFrame, cluster: str, max_rounds: int = 200) -> DataFrame:
+def centrality(edges: DataFrame, obs: DataFrame, cluster: str) -> DataFrame:
     """Group degree, group closeness and mean clustering per label.
 
     Distances come from one breadth-first search per label, all labels in the
@@ -363,12 +363,16 @@ def centrality(edges: DataFrame, obs: DataFrame, cluster: str, max_rounds: int =
         .filter("label <> _other").groupBy("label").agg(F.countDistinct("dst").alias("_reach"))
     )
     seen = frontier = materialize(labels.select("label", "cell_id", F.lit(0).alias("hops")))
-    for hop in range(1, max_rounds + 1):
+    hop = 0
+    while True:
+        hop += 1
         step = frontier.withColumnRenamed("cell_id", "src").join(links, "src").select("label", F.col("dst").alias("cell_id")).distinct()
         frontier = materialize(step.join(seen, ["label", "cell_id"], "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if hop % 16 == 0:
+            seen = materialize(seen)
     far = seen.groupBy("label").agg(F.sum("hops").alias("_sum"))
     local = clustering_coefficients(edges, obs).join(labels, "cell_id").groupBy("label").agg(F.avg("clustering").alias("average_clustering"))
     rest = F.col("_total") - F.col("_size")

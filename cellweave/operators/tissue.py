@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from cellweave.functions import reference_tables as ref
 from cellweave.functions import stats as S
 from cellweave.operators import neighbors
 from cellweave.operators.communication import _group_means
-from cellweave.operators.de import top_per_group
+from cellweave.operators.de import rank_genes_wilcoxon, top_per_group
 from cellweave.session import materialize
 
 
@@ -102,6 +105,8 @@ def dbscan(points: DataFrame, eps: float, min_pts: int) -> DataFrame:
     touch = neighbors.knn_join(border, named.select("cell_id", "x", "y"), 1, exclude_self=False).filter(F.col("dist") <= eps).select(F.col("src").alias("cell_id"), F.col("dst").alias("_core"))
     joined = named.select("cell_id", "component").unionByName(touch.join(named.select(F.col("cell_id").alias("_core"), "component"), "_core").select("cell_id", "component"))
     first = named.groupBy("component").agg(F.min("cell_id").alias("cluster"))
+    if not isinstance(points.schema["cell_id"].dataType, IntegralType):  # other ids: clusters are numbered in the order of their smallest member
+        first = first.withColumn("cluster", F.row_number().over(Window.orderBy("cluster")) - 1)  # one row per cluster
     return points.select("cell_id").join(joined.join(first, "component").select("cell_id", F.col("cluster").cast("long").alias("cluster")), "cell_id", "left").na.fill(-1, ["cluster"])
 
 
@@ -143,7 +148,7 @@ def region_maturity(expr: DataFrame, regions: DataFrame, markers: DataFrame) ->
 
 def maturity_markers(spark: SparkSession, species: str = "human") -> DataFrame:
     table = ref.MATURITY_MARKERS.get(species, ref.MATURITY_MARKERS["human"])
-    return spark.createDataFrame([(k, g) for k, names in table.items() for g in names.split()], "kind string, gene_id string")
+    return spark.createDataFrame([(k, g) for k, names in table.items() for g in names], "kind string, gene_id string")
 
 
 def _hull(points: np.ndarray) -> np.ndarray:
@@ -201,12 +206,20 @@ def _risk_table(cohort: DataFrame, group: list[str], time: str, event: str) -> D
 
 
 def kaplan_meier(cohort: DataFrame, group: str, time: str = "time", event: str = "event") -> DataFrame:
-    """Survival after each event time, exp of the running sum of log(1 - d / n)."""
-    risk = _risk_table(cohort, [group], time, event).filter("d > 0")
-    w = Window.partitionBy(group).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)  # distinct event times
-    dead = F.max(F.when(F.col("d") == F.col("at_risk"), 1).otherwise(0)).over(w)
+    """Survival after each event time, exp of the running sum of log(1 - d / n).
+
+    The sums run inside buckets of time, and over the buckets' totals.
+    """
+    risk = S.range_buckets(materialize(_risk_table(cohort, [group], time, event).filter("d > 0")), time, "_b")
     step = F.when(F.col("d") < F.col("at_risk"), F.log(1.0 - F.col("d") / F.col("at_risk"))).otherwise(0.0)
-    return risk.select(group, time, "d", "at_risk", F.when(dead == 1, 0.0).otherwise(F.exp(F.sum(step).over(w))).alias("survival"))
+    dead = (F.col("d") == F.col("at_risk")).cast("int")
+    across = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # buckets of a group
+    totals = risk.groupBy(group, "_b").agg(F.sum(step).alias("_s"), F.max(dead).alias("_d")).select(
+        group, "_b", F.coalesce(F.sum("_s").over(across), F.lit(0.0)).alias("_s"), F.coalesce(F.max("_d").over(across), F.lit(0)).alias("_d"))
+    w = Window.partitionBy(group, "_b").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    run = risk.withColumn("_own", F.sum(step).over(w)).withColumn("_dead", F.max(dead).over(w)).join(totals, [group, "_b"])
+    alive = F.greatest("_dead", "_d") == 0
+    return run.select(group, time, "d", "at_risk", F.when(alive, F.exp(F.col("_own") + F.col("_s"))).otherwise(0.0).alias("survival"))
 
 
 def median_survival(curve: DataFrame, group: str, time: str = "time") -> DataFrame:
@@ -220,7 +233,8 @@ def logrank(cohort: DataFrame, group: str, a, time: str = "time", event: str = "
     whole = _risk_table(flagged, [], time, event)
     own = flagged.filter("_a = 1").groupBy(time).agg(F.count(F.lit(1)).alias("_c"), F.sum(F.col(event).cast("long")).alias("_d1"))
     n1 = flagged.agg(F.sum("_a").alias("_n1"))
-    rows = whole.join(own, time, "left").na.fill(0).crossJoin(n1).withColumn("_b", S.value_bucket(F.col(time)))  # one-row side
+    rows = whole.join(own, time, "left").na.fill(0).crossJoin(n1)  # one-row side
+    rows = S.range_buckets(materialize(rows), time, "_b")
     inside = Window.partitionBy("_b").orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("_b").agg(F.sum("_c").alias("_t")).select("_b", F.coalesce(F.sum("_t").over(across), F.lit(0)).alias("_o"))  # value buckets
@@ -243,7 +257,7 @@ def cox_ph(cohort: DataFrame, features: list[str], time: str = "time", event: st
     means = cohort.agg(*[F.avg(f) for f in features]).first()
     x = [F.col(f) - F.lit(float(m)) for f, m in zip(features, means)]
     beta = np.zeros(k)
-    rows = materialize(cohort.select(time, event, *[e.alias(f"x{i}") for i, e in enumerate(x)]).withColumn("_b", S.value_bucket(F.col(time))))
+    rows = materialize(S.range_buckets(materialize(cohort.select(time, event, *[e.alias(f"x{i}") for i, e in enumerate(x)])), time, "_b"))
     names = ["w"] + [f"w{i}" for i in range(k)] + [f"w{i}_{j}" for i, j in pairs]
     for _ in range(rounds):
         risk = F.exp(sum((F.col(f"x{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0)))
@@ -263,11 +277,20 @@ def cox_ph(cohort: DataFrame, features: list[str], time: str = "time", event: st
         beta = beta + step
         if np.abs(step).max() < 1e-9:
             break
+    else:
+        raise RuntimeError(f"the coefficients still move by {np.abs(step).max()} after {rounds} Newton steps")
     hazard = F.exp(sum((e * float(b) for e, b in zip(x, beta)), F.lit(0.0)))
     return cohort.withColumn("partial_hazard", hazard), beta
 
 
 # ------------------------------------------------------------------------- targets
+def domain_biomarkers(expr: DataFrame, obs: DataFrame, domain: str, n: int = 50) -> DataFrame:
+    """(domain, gene, scores, pvals, logfoldchanges, rank): the ``n`` genes of highest rank-sum score of each domain."""
+    markers = rank_genes_wilcoxon(expr, obs, domain).withColumn("_s", F.round("scores", 9))
+    return top_per_group(markers, ["group"], [F.desc("_s"), "gene_id"], n).select(
+        F.col("group").alias("domain"), F.col("gene_id").alias("gene"), "scores", "pvals", "logfoldchanges", "rank")
+
+
 def prioritize_targets(biomarkers: DataFrame, druggable: DataFrame, literature: DataFrame) -> DataFrame:
     """biomarkers(domain, gene): score = .4 freq / max + .4 druggable + .2 literature."""
     freq = biomarkers.select("domain", "gene").groupBy("gene").agg(F.count(F.lit(1)).alias("spatial_frequency"))
@@ -279,14 +302,14 @@ def prioritize_targets(biomarkers: DataFrame, druggable: DataFrame, literature:
     return rows.withColumn("priority_score", score).drop("_max")
 
 
-def gene_table(spark: SparkSession, names: str) -> DataFrame:
-    return spark.createDataFrame([(g,) for g in names.split()], "gene string")
+def gene_table(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    return spark.createDataFrame([(g,) for g in names], "gene string")
 
 
 def annotate_drugs(targets: DataFrame, n: int = 20) -> DataFrame:
     """The top targets with their approved, investigational and repurposing drugs."""
     spark = targets.sparkSession
-    drugs = [(g, names.split(), kind) for kind, table in (("approved", ref.APPROVED_DRUGS), ("investigational", ref.INVESTIGATIONAL_DRUGS), ("repurposing", ref.REPURPOSING)) for g, names in table.items()]
+    drugs = [(g, list(names), kind) for kind, table in (("approved", ref.APPROVED_DRUGS), ("investigational", ref.INVESTIGATIONAL_DRUGS), ("repurposing", ref.REPURPOSING)) for g, names in table.items()]
     table = spark.createDataFrame(drugs, "gene string, drugs array<string>, kind string")
     out = targets.orderBy(F.desc("priority_score"), "gene").limit(n)
     for kind in ("approved", "investigational", "repurposing"):

@@ -44,13 +44,13 @@ def tr_transition_matrix(spark, sf):
 def tr_absorption(spark, sf):
     obs = t.cells(spark, sf)
     ends = obs.filter("pseudotime > 9000").select("cell_id", F.col("batch").alias("fate"))
-    return dy.absorption_probabilities(transitions(spark, sf), ends, obs, rounds=8)
+    return dy.absorption_probabilities(transitions(spark, sf), ends, obs, tol=1e-3)
 
 
 @register("tr_diffusion_pseudotime")
 def tr_diffusion_pseudotime(spark, sf):
     edges = neighbors.symmetrize(t.spatial_edges(spark, sf).withColumn("weight", F.lit(1.0)))
-    return dy.diffusion_pseudotime(edges, 0, 3, 5)
+    return dy.diffusion_pseudotime(edges, 0, 3, tol=1e-3)
 
 
 def layers(spark, sf):

@@ -31,7 +31,7 @@ def _symmetric(spark, sf):
 
 @register("cl_graph_communities")
 def cl_graph_communities(spark, sf):
-    return dm.graph_communities(_symmetric(spark, sf), levels=3, rounds=4)
+    return dm.graph_communities(_symmetric(spark, sf))
 
 
 @register("cl_modularity", f"""{CELLS_EDGES}, s AS (SELECT src, dst, MAX(w) AS w FROM (SELECT src, dst, 1.0::DOUBLE / (1 + rank) AS w FROM edges UNION ALL SELECT dst, src, 1.0::DOUBLE / (1 + rank) FROM edges) GROUP BY 1, 2),

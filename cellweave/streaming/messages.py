@@ -20,6 +20,14 @@ def _by_time(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(rows).sort_values("ts", kind="stable") if rows else pd.DataFrame()
 
 
+def _expire(state: GroupState, second: float) -> None:
+    """End the state at ``second`` of event time; at once if the watermark is already there."""
+    if state.getCurrentWatermarkMs() < int(second * 1000):
+        state.setTimeoutTimestamp(int(second * 1000))
+    else:
+        state.remove()
+
+
 def stream_dedup_fixed(messages: DataFrame, ttl: str = "1 hour") -> DataFrame:
     """Cheap form: the first copy per id within the watermark; null ids pass."""
     with_id = messages.filter("message_id IS NOT NULL").withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["message_id"])
@@ -44,8 +52,7 @@ def stream_dedup(messages: DataFrame, ttl: int = 3600, watermark: str = "10 minu
             keep.append(last is None or now - last > ttl)
             last = max(now, last or now)
         state.update((last,))
-        if state.getCurrentWatermarkMs() < int((last + ttl) * 1000):
-            state.setTimeoutTimestamp(int((last + ttl) * 1000))
+        _expire(state, last + ttl)
         yield rows[keep]
 
     named = messages.filter("message_id IS NOT NULL").withWatermark("ts", watermark)
@@ -76,11 +83,10 @@ def stream_rate_limit(messages: DataFrame, n: int = 60, window: int = 3600, admi
             if ok:
                 times.append(now)
         state.update((times,))
-        if times and state.getCurrentWatermarkMs() < int((times[-1] + window) * 1000):
-            state.setTimeoutTimestamp(int((times[-1] + window) * 1000))
+        _expire(state, (times[-1] if times else 0) + window)
         yield rows[keep]
 
-    limited = messages.filter(~F.col("sender_id").isin(list(admins))).withWatermark("ts", watermark)
+    limited = messages.filter(~F.coalesce(F.col("sender_id").isin(list(admins)), F.lit(False))).withWatermark("ts", watermark)
     passed = limited.groupBy("sender_id").applyInPandasWithState(step, messages.schema, "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
     if not admins:
         return passed
@@ -128,8 +134,7 @@ def stream_group_context(messages: DataFrame, most: int = 50, age: int = 3600, s
             out.append(record)
         state.update(([h[0] for h in held], [h[1] for h in held]))
         newest = rows["ts"].max().timestamp() if len(rows) else 0
-        if state.getCurrentWatermarkMs() < int((newest + age) * 1000):
-            state.setTimeoutTimestamp(int((newest + age) * 1000))
+        _expire(state, newest + age)
         yield pd.DataFrame(out, columns=rows.columns)
 
     timed = messages.withWatermark("ts", watermark)
