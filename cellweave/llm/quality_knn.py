@@ -103,7 +103,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 4096, dims: int = 48, k: int = 15, power: float = 4.0) -> Voters:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 2048, dims: int = 48, k: int = 15, power: float = 4.0) -> Voters:
     """Voters from at most ``sample`` labelled documents, those whose ids have the smallest hashes.
 
     Held-out ids, null ids and labels other than 0 and 1 are left out.  The basis holds the ``dims``
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # repeated rows of a document could exceed the sample: the bound holds for what is collected
     got = texts.select("_label", "_text").mapInPandas(featured, "label int, row binary").limit(sample).toPandas()
     width = SHAPES + STRINGS + REPEATS
-    rows = np.frombuffer(b"".join(got["row"]), np.float32).reshape(len(got), width) if len(got) else np.zeros((0, width), np.float32)
+    rows = np.frombuffer(b"".join(got.pop("row")), np.float32).reshape(len(got), width) if len(got) else np.zeros((0, width), np.float32)
     answers = got["label"].to_numpy(float) if len(got) else np.zeros(0)
     keep = rows.any(1)
     rows, answers = rows[keep], answers[keep]
@@ -130,8 +130,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     order = np.lexsort((*rows[:, :4].T, answers))  # the same rows in any order give the same model
     rows, answers = rows[order], answers[order]
     mean = rows.mean(0)
-    values, directions = np.linalg.eigh(np.cov(rows - mean, rowvar=False))
-    basis = directions[:, ::-1][:, :min(dims, len(rows))].astype(np.float32)
+    rows -= mean
+    # leading right singular vectors by subspace iteration: nothing larger than the sample itself
+    basis = np.linalg.qr(rows[np.linspace(0, len(rows) - 1, min(2 * dims, len(rows))).astype(int)].T)[0]
+    for _ in range(12):
+        basis = np.linalg.qr(rows.T @ (rows @ basis))[0]
+    _, turn = np.linalg.eigh((rows @ basis).T @ (rows @ basis))
+    basis = (basis @ turn[:, ::-1][:, :dims]).astype(np.float32)
+    rows += mean
     voters = Voters(mean, basis, np.zeros((0, 1)), answers, prior, k, power)
     voters.vectors = voters.latent(rows).astype(np.float32)
     return voters
