@@ -21,6 +21,7 @@ RULES: dict[str, str] = {
     "few_distinct_words": "n_words >= 50 and 20 * n_distinct_words < n_words and n_distinct_words < 50",
     "shouting": "n_letters >= 50 and 2 * n_upper > n_letters",
 }
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_distinct_words", "n_letters", "n_upper", "n_repeat_words")
 #: Versioned policies: the rules that reject.
 POLICIES: dict[str, Sequence[str]] = {
     "base": ("few_words", "repeated_windows"),
@@ -40,7 +41,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     64-bit hash, with its place in the low bits, is sorted, so that equal windows are neighbours;
     neighbours are confirmed by the whole hash.  Everything happens inside the row: no shuffle.
     """
-    own = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_distinct_words", "n_letters", "n_upper", "n_repeat_words"]
+    own = list(MEASURES)
     kept = [c for c in docs.columns if c not in own]
     body = F.coalesce(F.col(text), F.lit(""))
     words = F.array_remove(F.split(body, SPACES, -1), "")
@@ -71,7 +72,10 @@ def ledger(docs: DataFrame, text: str = "text", rules: Mapping[str, str] = RULES
     for i, condition in enumerate(rules.values()):
         bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
     measured = measure(docs, text)
-    return measured.select(*[c for c in measured.columns if c != "fail_bits"], bits.alias("fail_bits"))
+    measured = measured.select(*[c for c in measured.columns if c != "fail_bits"])
+    kept = [c for c in measured.columns if c not in MEASURES]
+    # one generated row each: a filter on the bits would else be pushed down with all measurements written into it, over and over
+    return measured.select(*kept, F.inline(F.array(F.struct(*MEASURES, bits.alias("fail_bits")))))
 
 
 def rejects(mask: int) -> Column:
