@@ -20,25 +20,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.llm import shingle_sets
 from cellweave.llm.common import materialize
 from cellweave.llm.components import components
+from cellweave.llm.shingle_sets import shingle_hashes
 
-BITS, SEED = 64, 42
+BITS = 64
 
 
 def fingerprint_of(text: str | None, width: int = 4) -> int:
     """The fingerprint of one text, as a signed long."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    hashes = shingle_hashes(text, width)
+    if not len(hashes):
         return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    width = min(width, len(words))
-    starts = np.concatenate([[0], ends[:len(words) - width] + 1]).tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1:].tolist(), strict=True)], np.uint64)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[at:at + 4096].astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
@@ -207,9 +201,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(by_print, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The row of each component's smallest doc_id (one of its repeated rows); without ids: nothing is known, all stay."""
-    firsts = near_duplicates(docs, doc_id=doc_id, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", similarity: float | None = None, **options) -> DataFrame:
+    """The row of each component's smallest doc_id (one of its repeated rows); without ids: nothing is known, all stay.
+
+    Links are fingerprints within the radius, or with ``similarity`` shingle sets of that Jaccard similarity.
+    """
+    groups = near_duplicates(docs, doc_id=doc_id, **options) if similarity is None else shingle_sets.near_duplicates(docs, doc_id=doc_id, similarity=similarity, **options)
+    firsts = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     whole = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"))  # whatever the columns are called
     known = whole.join(firsts, F.col("_id") == F.col("_kept")).dropDuplicates(["_id"]).select("_row.*")
     return known.unionByName(docs.filter(F.col(doc_id).isNull()))

@@ -358,3 +358,32 @@ def test_gapless_numbers_do_not_depend_on_the_buckets(spark):
     rows = spark.range(500).select((F.col("id") % 2).alias("k"), F.col("id").alias("o"))
     one, many = (sorted(map(tuple, common.gapless(rows, ["k"], "o", "n", per).collect())) for per in (10_000, 3))
     assert one == many and [n for k, _, n in sorted(one, key=lambda r: (r[0], r[2])) if k == 0] == list(range(250))
+
+
+# ---------------------------------------------------------------- near copies of the pipeline
+def brute_set(text, width=5):
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def test_the_near_dedup_stage_finds_every_pair_of_its_similarity(spark, documents, odd):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(7)
+    rows = [(i, t) for docs, low in ((documents, 0), (odd, 10_000)) for i, t in ((None if i is None else i + low, t) for i, t in texts_of(docs)) if i is not None]
+    for g in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(4, 150)))]
+        for c in range(6):  # near copies on both sides of the similarity
+            copy = list(words)
+            for _ in range(int(rng.integers(0, 5))):
+                copy[int(rng.integers(len(copy)))] = f"x{rng.integers(1000)}"
+            rows.append((20_000 + 10 * g + c, " ".join(copy) + " and the very same line ends them all" * (g % 2)))
+    sets = [brute_set(t) for _, t in rows]
+    close = lambda a, b: len(a & b) * 5 >= 4 * len(a | b)
+    label = brute_components(len(rows), lambda i: [j for j in range(len(rows)) if close(sets[i], sets[j])])
+    least = {}
+    for (i, _), c in zip(rows, label, strict=True):
+        least[c] = min(least.get(c, i), i)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.without_copies(spark, table, SF).collect())
+    assert got == sorted(set(least.values()))
