@@ -117,43 +117,44 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = 2048, doc_id: str = "
 def _fillings(counts: np.ndarray, largest: int, room: int, budget: list[int]) -> Iterator[tuple[int, ...]]:
     """Undominated fillings of ``room`` beside ``largest``, best fit first.
 
-    Depth first over lengths in falling order, so the first filling found is the best-fit one; later
-    ones must waste less (the waste bound), and one without waste ends the search.
+    Depth first over lengths in falling order and how often each is taken, most often first: the first
+    filling found is the best-fit one, and no branch is deeper than there are different lengths in a
+    bin.  Later fillings must waste less (the waste bound), and one without waste ends the search.  When
+    the budget ends no new branch is begun, but the one at hand is completed with best fits.
     """
     lengths = np.flatnonzero(counts)
     used: dict[int, int] = {}
     best, found = room + 1, []
 
-    def unbeaten(chosen: tuple[int, ...], waste: int) -> bool:
-        # dominated: some chosen length could give way to a larger one that is left and still fits
-        for x in set(chosen):
+    def unbeaten(waste: int) -> bool:
+        # dominated: a length that is left still fits, or some chosen length could give way to a larger one that does
+        for x in (0, *used):
             above = lengths[np.searchsorted(lengths, x, side="right"):np.searchsorted(lengths, x + waste, side="right")]
             if any(counts[y] > used.get(int(y), 0) for y in above):
                 return False
         return True
 
-    def deeper(chosen: tuple[int, ...], left: int, top: int) -> bool:
+    def deeper(top: int, left: int) -> bool:
         nonlocal best
         budget[0] -= 1
         fits = False
-        i = int(np.searchsorted(lengths, min(top, left), side="right")) - 1
-        while i >= 0 and budget[0] > 0:
+        for i in range(min(top, int(np.searchsorted(lengths, left, side="right"))) - 1, -1, -1):
             x = int(lengths[i])
-            i -= 1
-            if counts[x] <= used.get(x, 0):
-                continue
-            fits = True
-            used[x] = used.get(x, 0) + 1
-            done = deeper((*chosen, x), left - x, x)
-            used[x] -= 1
-            if done:
-                return True
-        if not fits and left < best and unbeaten(chosen, left):
+            for times in range(min(int(counts[x]), left // x), 0, -1):
+                if fits and budget[0] <= 0:
+                    return False
+                fits = True
+                used[x] = times
+                done = deeper(i, left - x * times)
+                del used[x]
+                if done:
+                    return True
+        if not fits and left < best and unbeaten(left):
             best = left
-            found.append(chosen)
+            found.append(tuple(x for x, times in used.items() for _ in range(times)))
         return best == 0
 
-    deeper((), room, room)
+    deeper(len(lengths), room)
     yield from reversed(found)
 
 

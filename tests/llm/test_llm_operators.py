@@ -152,6 +152,14 @@ def test_the_plan_beats_first_best_fits():
         assert {k: sum(f.count(k) * n for f, n in made) for k in histogram} == histogram
 
 
+@pytest.mark.parametrize("histogram", [{1: 100_000}, {2: 100_000}, {1: 50_000, 3: 50_000}, {1: 1_000_000, 2: 7, 1500: 300}])
+@pytest.mark.parametrize("each", [1, 400])
+def test_bins_of_tiny_pieces_are_filled_to_the_end(histogram, each):
+    made = packing.plan(histogram, 2048, each=each)
+    assert {k: sum(f.count(k) * n for f, n in made) for k in histogram} == histogram and all(sum(f) <= 2048 for f, _ in made)
+    assert sum(n for _, n in made) == -(-sum(k * n for k, n in histogram.items()) // 2048)
+
+
 # ---------------------------------------------------------------- 4 token counts
 @pytest.mark.parametrize("table", ["documents", "odd"])
 def test_token_counts_match_the_library(table, request):
