@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import embedding, language, mixing, packing, quality_knn, quality_rules, sharding, simhash, token_counts, url_filter
+from cellweave.llm import conversation, embedding, language, mixing, packing, quality_knn, quality_rules, sharding, simhash, token_counts, url_filter
 from cellweave.llm.common import load, small_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,49 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_language_evidence")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(load(spark, sf_dir, "pages"), language.fit(load(spark, sf_dir, "documents")))
+
+
+#: CRC32 of an ASCII string, bit by bit.
+CRC32_TABLE = "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT))"
+
+
+def crc32_sql(text: str) -> str:
+    return f"xor(list_reduce(list_transform(range(1, length({text}) + 1), lambda i: ascii(({text})[i])::BIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+#: The edit lattice row by row: every state keeps its cheapest edits; up to two insertions before each row and at the end.
+OP12_SQL = r"""
+WITH RECURSIVE t AS (SELECT """ + CRC32_TABLE + r""" AS tab),
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             """ + crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')") + r""" % 20 AS how FROM conversations, t),
+d AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+             CASE how WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN how = 3 THEN [0, 1] ELSE [0] END) AS again FROM c WHERE how <> 0),
+o AS (SELECT *, row_number() OVER w - 1 AS i, lag(role) OVER w AS before, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) AS seen
+      FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again)),
+r AS (SELECT conv_id, i, turn, role, text, left(role, 1) AS ini, before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au') AS clash,
+             CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN seen > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 3 ELSE 0 END AS fault FROM o),
+k AS (SELECT conv_id, count(*) AS n FROM r GROUP BY conv_id),
+pre AS (SELECT * FROM (VALUES (0,0,0,'',''), (0,2,3,'I','user:'), (0,3,6,'II',concat('user:', chr(10), 'assistant:')), (1,1,0,'',''), (1,2,3,'I','user:'), (1,3,6,'II',concat('user:', chr(10), 'assistant:')),
+        (2,2,0,'',''), (2,3,3,'I','assistant:'), (2,2,6,'II',concat('assistant:', chr(10), 'user:')), (3,3,0,'',''), (3,2,3,'I','user:'), (3,3,6,'II',concat('user:', chr(10), 'assistant:'))) v(a, b, price, ins, made)),
+op AS (SELECT * FROM (VALUES (0,0,4,'D',NULL,NULL), (1,1,4,'D',NULL,NULL), (2,2,4,'D',NULL,NULL), (3,3,4,'D',NULL,NULL), (0,2,3,'R',NULL,'user'), (1,2,3,'R',NULL,'user'), (3,2,3,'R',NULL,'user'), (2,3,3,'R',NULL,'assistant'),
+        (0,1,0,'K','s',NULL), (0,2,0,'K','u',NULL), (1,2,0,'K','u',NULL), (3,2,0,'K','u',NULL), (2,3,0,'K','a',NULL)) v(b, e, price, edit, needs, becomes)),
+lat AS (SELECT conv_id, 0::BIGINT AS i, 0 AS s, 0::BIGINT AS cost, '' AS audit, NULL::VARCHAR AS made FROM k
+        UNION ALL
+        SELECT conv_id, i + 1, s, best.cost, best.audit, best.made FROM (
+          SELECT l.conv_id, l.i, op.e AS s, min(struct_pack(cost := l.cost + pre.price + op.price + CASE WHEN op.edit <> 'D' AND r.fault = 3 THEN 3 ELSE 0 END, audit := l.audit || pre.ins || op.edit,
+                 made := nullif(concat_ws(chr(10), l.made, nullif(pre.made, ''), CASE WHEN op.edit <> 'D' THEN coalesce(op.becomes, r.role) || ':' || r.text END), ''))) AS best
+          FROM lat l JOIN r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.i JOIN pre ON pre.a = l.s JOIN op ON op.b = pre.b AND (op.needs IS NULL OR op.needs = r.ini) AND (op.edit = 'D' OR r.fault IN (0, 3))
+          GROUP BY l.conv_id, l.i, op.e)),
+fin AS (SELECT l.conv_id, min(struct_pack(cost := cost + pre.price, audit := audit || pre.ins, made := coalesce(concat_ws(chr(10), l.made, nullif(pre.made, '')), ''))) AS best
+        FROM lat l JOIN k ON k.conv_id IS NOT DISTINCT FROM l.conv_id AND k.n = l.i JOIN pre ON pre.a = l.s AND pre.b IN (0, 3) GROUP BY l.conv_id),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+             count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE clash) AS illegal FROM r GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(best.made, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@register("op12_conversation_repair", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations")
+    return conversation.report(turns, conversation.damage(turns))
