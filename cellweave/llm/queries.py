@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import conversation, embedding, language, mixing, packing, quality_knn, quality_rules, sharding, simhash, token_counts, url_filter
+from cellweave.llm import conversation, embedding, language, mixing, packing, quality_knn, quality_rules, sharding, simhash, token_counts, toxicity, url_filter
 from cellweave.llm.common import load, small_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,7 +145,9 @@ d AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
 o AS (SELECT *, row_number() OVER w - 1 AS i, lag(role) OVER w AS before, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) AS seen
       FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again)),
 r AS (SELECT conv_id, i, turn, role, text, left(role, 1) AS ini, before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au') AS clash,
-             CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN seen > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 3 ELSE 0 END AS fault FROM o),
+             CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN seen > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 3 ELSE 0 END AS fault FROM o),
 k AS (SELECT conv_id, count(*) AS n FROM r GROUP BY conv_id),
 pre AS (SELECT * FROM (VALUES (0,0,0,'',''), (0,2,3,'I','user:'), (0,3,6,'II',concat('user:', chr(10), 'assistant:')), (1,1,0,'',''), (1,2,3,'I','user:'), (1,3,6,'II',concat('user:', chr(10), 'assistant:')),
         (2,2,0,'',''), (2,3,3,'I','assistant:'), (2,2,6,'II',concat('assistant:', chr(10), 'user:')), (3,3,0,'',''), (3,2,3,'I','user:'), (3,3,6,'II',concat('user:', chr(10), 'assistant:'))) v(a, b, price, ins, made)),
@@ -171,3 +173,9 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = load(spark, sf_dir, "conversations")
     return conversation.report(turns, conversation.damage(turns))
+
+
+@register("op11_toxicity_neighbours")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
