@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm import conversation, embedding, language, mixing, packing, quality_knn, quality_rules, sharding, simhash, token_counts, toxicity, url_filter
+from cellweave.llm import conversation, embedding, language, mixing, packing, phrases, quality_knn, quality_rules, sharding, simhash, token_counts, toxicity, url_filter
 from cellweave.llm.common import load, small_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,30 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w, row_number() OVER () AS pid FROM d),
+e AS (SELECT lang, pid, unnest(w) AS w1, unnest(range(1, len(w) + 1)) AS i FROM p),
+x AS (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM e WINDOW o AS (PARTITION BY pid ORDER BY i)),
+g AS (SELECT lang, 1 AS k, w1 AS phrase, count(*) AS a FROM x GROUP BY ALL UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM x WHERE w2 IS NOT NULL GROUP BY ALL
+      UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM x WHERE w3 IS NOT NULL GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+f AS (SELECT * FROM g WHERE a >= 10),
+s AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+c AS (SELECT s.lang, s.phrase, s.k, s.a, x.a AS l, y.a AS r, cut, CAST((1000000 * s.a::HUGEINT * s.a) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+      FROM s JOIN (SELECT unnest([1, 2]) AS cut) ON cut < s.k JOIN f x ON x.lang = s.lang AND x.phrase = array_to_string(s.w[1:cut], ' ') JOIN f y ON y.lang = s.lang AND y.phrase = array_to_string(s.w[cut + 1:], ' ')),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT lang, inside, max(a) AS longer FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS inside FROM s WHERE k = 3) GROUP BY lang, inside),
+t AS (SELECT b.* FROM b LEFT JOIN o ON o.lang = b.lang AND o.inside = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * b.a)
+SELECT t.lang, CAST(row_number() OVER (PARTITION BY t.lang ORDER BY score DESC, a DESC, encode(phrase)) AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, score
+FROM t JOIN n ON n.lang = t.lang QUALIFY rank <= 2000"""
+
+
+@register("op13_collocations", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.collocations(load(spark, sf_dir, "documents").select("text", "lang"))
+    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    ranked = found.withColumn("rank", F.row_number().over(order).cast("long")).filter("rank <= 2000")  # each task sends its first 2000 only
+    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
