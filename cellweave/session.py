@@ -45,6 +45,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut(df: DataFrame, name: str = "round") -> DataFrame:
+    """``df`` written to the shared folder and read again: for loops, since a checkpoint keeps the partitioning
+    that its plan promises, and joins of joins make that longer from round to round."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder, for tables that are written and read again."""
     ensure_checkpoint_dir(spark)
