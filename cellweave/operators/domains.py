@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cellweave.operators import neighbors
 from cellweave.operators.de import top_per_group
-from cellweave.session import materialize
+from cellweave.session import cut, materialize
 
 
 def _vectors(embedding: DataFrame) -> DataFrame:
@@ -62,77 +63,122 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return inside.crossJoin(square).select((F.col("_in") / F.col("_m") - resolution * F.col("_tt") / (F.col("_m") * F.col("_m"))).alias("modularity"))  # one-row sides
 
 
-def _quality(graph: DataFrame, state: DataFrame, total: float, resolution: float) -> float:
-    """Modularity of state(node, d, c) on a graph whose weights sum to ``total``."""
-    a, b = state.select(F.col("node").alias("src"), F.col("c").alias("_a")), state.select(F.col("node").alias("dst"), F.col("c").alias("_b"))
-    inside = graph.join(a, "src").join(b, "dst").filter("_a = _b").agg(F.sum("weight")).first()[0] or 0.0
-    square = state.groupBy("c").agg(F.sum("d").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0] or 0.0
-    return inside / total - resolution * square / total**2
+def _qualities(graph: DataFrame, state: DataFrame, total: float) -> dict[float, float]:
+    """Modularity of each run of state(node, res, d, c), whose graph's weights sum to ``total``."""
+    a, b = state.select(F.col("node").alias("src"), "res", F.col("c").alias("_a")), state.select(F.col("node").alias("dst"), F.col("c").alias("_b"))
+    inside = {r["res"]: r["w"] for r in graph.join(a, "src").join(b, "dst").filter("_a = _b").groupBy("res").agg(F.sum("weight").alias("w")).collect()}
+    squares = state.groupBy("res", "c").agg(F.sum("d").alias("t")).groupBy("res").agg(F.sum(F.col("t") * F.col("t")).alias("t"))
+    return {r["res"]: inside.get(r["res"], 0.0) / total - r["res"] * r["t"] / total**2 for r in squares.collect()}  # one row for each resolution
 
 
-def graph_communities(edges: DataFrame, resolution: float = 1.0, seed: int = 42, gain: float = 1e-5) -> DataFrame:
-    """Modularity communities (cell_id, cluster) of a symmetric weighted graph.
+def _move(graph: DataFrame, state: DataFrame, total: float, turn: int) -> DataFrame:
+    """One round: of the active nodes those whose turn it is go to the neighbouring community of largest gain.
 
-    Each round moves half of the nodes, chosen by hash, to the neighbouring
-    community of largest gain; each level then contracts the communities.  A
-    level ends when no node wants to move or four rounds bring less than
-    ``gain`` of modularity, the search when a level does; since modularity
-    is at most 1, both end.
+    Active afterwards are the neighbours of what has moved, and what wants to move but had no turn.
+    """
+    acting = state.filter("active").select("node", "res", "d", F.col("c").alias("home"))
+    load = state.groupBy("c").agg(F.sum("d").alias("tot"))
+    near = graph.filter("src <> dst").join(acting.select(F.col("node").alias("src")), "src", "left_semi")
+    pull = near.join(state.select(F.col("node").alias("dst"), "c"), "dst").select(F.col("src").alias("node"), "c", "weight")
+    options = pull.unionByName(acting.select("node", F.col("home").alias("c"), F.lit(0.0).alias("weight"))).groupBy("node", "c").agg(F.sum("weight").alias("w"))
+    others = F.col("tot") - F.when(F.col("c") == F.col("home"), F.col("d")).otherwise(0.0)
+    gains = options.join(acting, "node").join(load, "c").withColumn("g", F.col("w") - F.col("res") * F.col("d") * others / total)
+    best = gains.groupBy("node", "home").agg(F.max_by("c", F.struct(F.round("g", 9), (F.col("c") == F.col("home")).alias("s"), "c")).alias("best"))
+    now = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
+    wants = best.filter("best <> home").select("node", F.when(now, F.col("best")).otherwise(F.col("home")).alias("_c"), now.alias("_moved"))
+    wants = cut(wants)
+    woken = graph.join(wants.filter("_moved").select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node"), F.lit(True).alias("_woken")).distinct()
+    joined = state.join(wants, "node", "left").join(woken, "node", "left")
+    active = F.coalesce("_woken", F.lit(False)) | F.coalesce(~F.col("_moved"), F.lit(False))
+    return cut(joined.select("node", "res", "d", F.coalesce("_c", "c").alias("c"), active.alias("active")))
+
+
+def _connected(graph: DataFrame, state: DataFrame) -> DataFrame:
+    """Each community split into its connected parts, which never lowers the modularity; parts are named by a node."""
+    a, b = state.select(F.col("node").alias("src"), F.col("c").alias("_a")), state.select(F.col("node").alias("dst"), F.col("c").alias("_b"))
+    inside = cut(graph.filter("src <> dst").join(a, "src").join(b, "dst").filter("_a = _b").select("src", "dst"))
+    label = cut(state.select("node", F.col("node").alias("part")))
+    while True:
+        least = inside.join(label.select(F.col("node").alias("dst"), "part"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("part").alias("_p"))
+        near = label.join(least, "node", "left").select("node", "part", F.least("part", F.coalesce("_p", "part")).alias("_q"))
+        # what the part's own node has come to, so that chains need rounds by their logarithm
+        jump = label.select(F.col("node").alias("_q"), F.col("part").alias("_j"))
+        new = cut(near.join(jump, "_q").select("node", F.least("_q", "_j").alias("part"), F.col("part").alias("_old")))
+        changed = not new.filter("part <> _old").isEmpty()
+        label = new.select("node", "part")
+        if not changed:
+            return state.join(label, "node").select("node", "res", "d", F.col("part").alias("c"))
+
+
+def communities(edges: DataFrame, resolutions: Sequence[float], seed: int = 42, gain: float = 1e-5) -> DataFrame:
+    """Modularity communities (resolution, cell_id, cluster) of a symmetric weighted graph at each of a few resolutions.
+
+    All resolutions run side by side in the same tables.  On each level only active nodes are looked at:
+    at first all, then the neighbours of what has moved; half of them, chosen by hash, may move in a
+    round.  A level ends when none is active or four rounds bring less than ``gain`` of modularity;
+    its communities are split into connected parts, which are the nodes of the next level.  The search ends
+    when a level gains less.  Rounds are written tables of the same size, so their time stays flat.
     """
-    first = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("weight").cast("double").alias("weight"))
-    graph = materialize(first)
-    mapping = edges.select(F.col("src").alias("cell_id")).union(edges.select("dst")).distinct().withColumn("cluster", F.col("cell_id").cast("string"))
-    total = graph.agg(F.sum("weight")).first()[0] or 1.0
-    level, reached = -1, None
+    runs = F.explode(F.array(*[F.lit(float(r)) for r in dict.fromkeys(resolutions)]))  # a short list
+    named = edges.select(F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b"), F.col("weight").cast("double").alias("weight"), runs.alias("res"))
+    key = lambda c: F.concat_ws("|", F.col("res").cast("string"), F.col(c))
+    graph = cut(named.select(key("a").alias("src"), key("b").alias("dst"), "weight"))
+    nodes = edges.select(F.col("src").alias("cell_id")).union(edges.select("dst")).distinct()
+    mapping = cut(nodes.withColumn("res", runs).select("cell_id", F.col("res").alias("resolution"), F.concat_ws("|", F.col("res").cast("string"), F.col("cell_id").cast("string")).alias("cluster")))
+    total = edges.agg(F.sum(F.col("weight").cast("double"))).first()[0] or 1.0
+    degree, reached, level = graph.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("d")), None, 0
     while True:
-        level += 1
-        # One row per node: degree and community.
-        state = materialize(graph.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("d")).withColumn("c", F.col("node")))
-        start = best_state = state
-        best_quality = before = _quality(graph, state, total, resolution)
-        if reached is None:
-            reached = best_quality
-        r = -1
+        state = cut(degree.withColumn("res", F.split("node", r"\|")[0].cast("double")).select("node", "res", "d", F.col("node").alias("c"), F.lit(True).alias("active")))
+        best, quality = state, _qualities(graph, state, total)
+        reached = reached or dict(quality)
+        before, turn = dict(quality), 0
         while True:
-            r += 1
-            load = state.groupBy("c").agg(F.sum("d").alias("tot"))
-            pull = graph.filter("src <> dst").join(state.select(F.col("node").alias("dst"), "c"), "dst").select(F.col("src").alias("node"), "c", "weight")
-            options = pull.unionByName(state.select("node", "c", F.lit(0.0).alias("weight"))).groupBy("node", "c").agg(F.sum("weight").alias("w"))
-            others = F.col("tot") - F.when(F.col("c") == F.col("home"), F.col("d")).otherwise(0.0)
-            gains = options.join(state.select("node", "d", F.col("c").alias("home")), "node").join(load, "c").withColumn("g", F.col("w") - resolution * F.col("d") * others / total)
-            best = gains.groupBy("node", "d", "home").agg(F.max_by("c", F.struct(F.round("g", 9), (F.col("c") == F.col("home")).alias("s"), "c")).alias("best"))
-            turn = F.pmod(F.xxhash64("node", F.lit(seed + level * 100 + r)), F.lit(2)) == 0
-            state = materialize(best.select("node", "d", F.when(turn, F.col("best")).otherwise(F.col("home")).alias("c"), (F.col("best") != F.col("home")).alias("restless")))
-            restless = state.filter("restless").limit(1).count()
-            state = state.select("node", "d", "c")
-            if restless and r % 4 != 3:
+            state = _move(graph, state, total, seed + 1000 * level + turn)
+            turn += 1
+            ended = state.filter("active").isEmpty()
+            if turn % 4 and not ended:
                 continue
-            quality = _quality(graph, state, total, resolution)
-            if quality > best_quality:
-                best_quality, best_state = quality, state
-            if not restless or quality - before < gain:
+            now = _qualities(graph, state, total)
+            better = [r for r in now if now[r] > quality[r]]
+            best = cut(state.filter(F.col("res").isin(better)).unionByName(best.filter(~F.col("res").isin(better)))) if better else best
+            quality |= {r: now[r] for r in better}
+            still = [r for r in now if now[r] - before[r] >= gain]
+            if ended or not still:
                 break
-            before = quality
-        state = best_state
-        if state is start or best_quality - reached < gain:
+            state, before = state.withColumn("active", F.col("active") & F.col("res").isin(still)), now
+        parts = cut(_connected(graph, best))
+        quality = _qualities(graph, parts, total)
+        if all(quality[r] - reached[r] < gain for r in quality):
             break
-        reached = best_quality
-        mapping = materialize(mapping.join(state.select(F.col("node").alias("cluster"), "c"), "cluster").select("cell_id", F.col("c").alias("cluster")))
-        a, b = state.select(F.col("node").alias("src"), F.col("c").alias("_a")), state.select(F.col("node").alias("dst"), F.col("c").alias("_b"))
-        graph = materialize(graph.join(a, "src").join(b, "dst").groupBy(F.col("_a").alias("src"), F.col("_b").alias("dst")).agg(F.sum("weight").alias("weight")))
-    return mapping
+        reached, level = quality, level + 1
+        mapping = cut(mapping.join(parts.select(F.col("node").alias("cluster"), "c"), "cluster").select("cell_id", "resolution", F.col("c").alias("cluster")))
+        a, b = parts.select(F.col("node").alias("src"), F.col("c").alias("_a")), parts.select(F.col("node").alias("dst"), F.col("c").alias("_b"))
+        graph = cut(graph.join(a, "src").join(b, "dst").groupBy(F.col("_a").alias("src"), F.col("_b").alias("dst")).agg(F.sum("weight").alias("weight")))
+        degree = parts.groupBy(F.col("c").alias("node")).agg(F.sum("d").alias("d"))
+    return mapping.select("resolution", "cell_id", F.regexp_replace("cluster", r"^[^|]*\|", "").alias("cluster"))
+
+
+def graph_communities(edges: DataFrame, resolution: float = 1.0, seed: int = 42, gain: float = 1e-5) -> DataFrame:
+    """(cell_id, cluster) at one resolution; see :func:`communities`."""
+    return communities(edges, [resolution], seed, gain).select("cell_id", "cluster")
 
 
 def multi_resolution(edges: DataFrame, resolutions: list[float]) -> list[tuple[float, int]]:
-    return [(r, graph_communities(edges, r).select("cluster").distinct().count()) for r in resolutions]
+    """(resolution, number of clusters) of each resolution."""
+    found = {r["resolution"]: r["n"] for r in communities(edges, resolutions).groupBy("resolution").agg(F.countDistinct("cluster").alias("n")).collect()}
+    return [(r, found.get(float(r), 0)) for r in resolutions]
 
 
-def search_resolution(edges: DataFrame, target: int, low: float = 0.1, high: float = 3.0, step: float = 0.05) -> float:
-    """First resolution from high to low that gives ``target`` clusters; max(.1, .3 ln max(k, 2)) if none does."""
-    for i in range(int(round((high - low) / step)) + 1):
-        r = round(high - i * step, 6)
-        if graph_communities(edges, r).select("cluster").distinct().count() == target:
-            return r
+def search_resolution(edges: DataFrame, target: int, low: float = 0.1, high: float = 3.0, step: float = 0.05, at_once: int = 8) -> float:
+    """First resolution from high to low that gives ``target`` clusters; max(.1, .3 ln max(k, 2)) if none does.
+
+    ``at_once`` resolutions are tried side by side.
+    """
+    tried = [round(high - i * step, 6) for i in range(int(round((high - low) / step)) + 1)]
+    for i in range(0, len(tried), at_once):
+        for r, n in multi_resolution(edges, tried[i:i + at_once]):
+            if n == target:
+                return r
     return max(0.1, 0.3 * math.log(max(target, 2)))
 
 

@@ -245,9 +245,29 @@ def changeset_diff(changes: DataFrame) -> DataFrame:
 
 
 def changeset_gc(changes: DataFrame) -> DataFrame:
-    """Log without rows that were created and deleted again."""
-    net = changes.groupBy("tbl", "key").agg(F.min_by("before", "seq").alias("_b"), F.max_by("after", "seq").alias("_a"))
-    dead = net.filter("_b IS NULL AND _a IS NULL").select("tbl", "key")
+    """Log without rows that were created and deleted again, and without what was created for them only.
+
+    ``before`` and ``after`` hold rows as JSON; tables are nodes, memories, edges, paths and
+    glossary_keywords.  If any row came and went, these created rows go too: nodes that no path which
+    is left leads to (by its own node or over an edge that is left), memories and keywords of such nodes
+    that were created here, and edges that no path which is left uses.
+    """
+    net = materialize(changes.groupBy("tbl", "key").agg(F.min_by("before", "seq").alias("_b"), F.max_by("after", "seq").alias("_a")))
+    at = lambda name: F.get_json_object(F.coalesce("_a", "_b"), f"$.{name}")
+    gone = F.col("_b").isNull() & F.col("_a").isNull()
+    dead = net.filter(gone).select("tbl", "key")
+    if dead.isEmpty():
+        return changes
+    left = net.filter(~gone)
+    routes = left.filter("tbl = 'paths'").select(at("edge_id").alias("edge_id"), at("node_uuid").alias("node"))
+    over = left.filter("tbl = 'edges'").select(F.col("key").alias("edge_id"), at("child_uuid").alias("node"))
+    reached = routes.select("edge_id").join(over, "edge_id").select("node").unionByName(routes.select("node")).filter("node IS NOT NULL").distinct()
+    created = net.filter("tbl = 'nodes' AND _b IS NULL").select(F.col("key").alias("node")).join(reached, "node", "left_anti")
+    new = left.filter("_b IS NULL")
+    nodes = new.filter("tbl = 'nodes'").select("tbl", "key", at("uuid").alias("node")).join(reached, "node", "left_anti")
+    owned = new.filter("tbl IN ('memories', 'glossary_keywords')").select("tbl", "key", at("node_uuid").alias("node")).join(created, "node", "left_semi")
+    edges = new.filter("tbl = 'edges'").select("tbl", "key", at("id").alias("edge_id")).join(routes, "edge_id", "left_anti")
+    dead = dead.unionByName(nodes.select("tbl", "key")).unionByName(owned.select("tbl", "key")).unionByName(edges.select("tbl", "key"))
     return changes.join(dead, ["tbl", "key"], "left_anti")
 
 

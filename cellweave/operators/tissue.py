@@ -247,6 +247,38 @@ def logrank(cohort: DataFrame, group: str, a, time: str = "time", event: str = "
     return out.withColumn("chi2", chi).withColumn("pvalue", S.norm_pvalue(F.sqrt(chi)))
 
 
+def concordance(cohort: DataFrame, time: str = "time", event: str = "event", risk: str = "partial_hazard") -> DataFrame:
+    """One row (n_pairs, n_correct, n_tied, concordance): how often the earlier event has the higher risk.
+
+    A pair counts if the earlier of the two is an event; at one time an event comes before the censored,
+    and two events don't count.  Pairs are counted, never made: places in the order of time are split
+    by their bits, so that each pair differs first in exactly one bit and meets in the group of the bits
+    above; there one pass over the risks counts those that stand right.  A row takes part in about log2 n
+    groups, whose risks are split over buckets.  Rows with a null are left out.
+    """
+    known = cohort.select((F.col(event).cast("int") == 1).alias("e"), F.col(time).alias("t"), F.col(risk).cast("double").alias("r")).dropna()
+    kinds = materialize(known.groupBy("t", "e", "r").agg(F.count(F.lit(1)).alias("n")))
+    times = S.cumulative_counts(kinds.select("t"), [], "t").select("t", (F.col("n_before") * 2).alias("_p"))
+    spots = S.range_buckets(materialize(kinds.select("r").distinct()), "r", "_bucket")
+    # of one time, the censored stand behind the events
+    placed = materialize(kinds.join(times, "t").join(spots, "r").select((F.col("_p") + F.when(F.col("e"), 0).otherwise(1)).alias("p"), "e", "r", "_bucket", "n"))
+    last = placed.agg(F.max("p")).first()[0] or 0
+    levels = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.shiftright("p", b + 1).alias("g"), F.shiftright("p", b).bitwiseAND(F.lit(1)).alias("late")) for b in range(max(1, int(last).bit_length()))]))
+    split = placed.select("e", "r", "_bucket", "n", levels.alias("l")).filter("l.late = 1 OR e")
+    early, late = F.sum(F.when(F.col("l.late") == 0, F.col("n")).otherwise(0)), F.sum(F.when(F.col("l.late") == 1, F.col("n")).otherwise(0))
+    cells = materialize(split.groupBy("l.b", "l.g", "_bucket", "r").agg(early.alias("early"), late.alias("late")))
+    group = ["b", "g"]
+    higher = Window.partitionBy(*group).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)  # buckets of a group
+    above = cells.groupBy(*group, "_bucket").agg(F.sum("early").alias("_n")).select(*group, "_bucket", F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_above"))
+    inside = Window.partitionBy(*group, "_bucket").orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, -1)
+    counted = cells.withColumn("_in", F.coalesce(F.sum("early").over(inside), F.lit(0))).join(above, [*group, "_bucket"])
+    pairs = cells.groupBy(*group).agg(F.sum("early").alias("a"), F.sum("late").alias("b_")).agg(F.sum(F.col("a") * F.col("b_")).alias("n_pairs"))
+    right = counted.agg(F.sum(F.col("late") * (F.col("_above") + F.col("_in"))).alias("n_correct"), F.sum(F.col("late") * F.col("early")).alias("n_tied"))
+    value = F.when(F.col("n_pairs") > 0, (F.col("n_correct") + F.col("n_tied") / 2.0) / F.col("n_pairs"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return pairs.crossJoin(right).select(zero("n_pairs"), zero("n_correct"), zero("n_tied")).withColumn("concordance", value)  # one-row sides
+
+
 def cox_ph(cohort: DataFrame, features: list[str], time: str = "time", event: str = "event", rounds: int = 25, ridge: float = 1e-9) -> tuple[DataFrame, np.ndarray]:
     """Breslow proportional hazards: risk-set suffix sums in Spark, a small Newton step on the driver.
 

@@ -147,6 +147,49 @@ def me_changeset_gc(spark, sf):
     return me.changeset_gc(_changes(spark, sf)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: A session's log: customers in pairs share a node; a third of the paths came and went again.
+SESSION = """lg AS (
+  SELECT 1 AS seq, 'nodes' AS tbl, 'c' || c_custkey AS key, CASE WHEN c_custkey % 10 = 4 THEN '{"uuid":"c' || c_custkey || '"}' END AS before, '{"uuid":"c' || c_custkey || '"}' AS after FROM customer WHERE c_custkey % 2 = 0
+  UNION ALL SELECT 2, 'edges', c_custkey::VARCHAR, CASE WHEN c_custkey % 7 = 3 THEN '{}' END, '{"id":"' || c_custkey || '","child_uuid":"c' || (c_custkey - c_custkey % 2) || '"}' FROM customer
+  UNION ALL SELECT 3, 'paths', 'p' || c_custkey, NULL, CASE WHEN c_custkey % 11 = 5 THEN '{"node_uuid":"c' || (c_custkey - c_custkey % 2) || '"}' ELSE '{"edge_id":"' || c_custkey || '"}' END FROM customer
+  UNION ALL SELECT 9, 'paths', 'p' || c_custkey, '{}', NULL FROM customer WHERE c_custkey % 3 = 0
+  UNION ALL SELECT 4, 'memories', o_orderkey::VARCHAR, CASE WHEN o_orderstatus = 'F' THEN '{}' END, '{"node_uuid":"c' || (o_custkey - o_custkey % 2) || '"}' FROM orders
+  UNION ALL SELECT 5, 'glossary_keywords', p_partkey::VARCHAR, NULL, '{"node_uuid":"c' || p_partkey || '"}' FROM part)"""
+
+
+def _session(spark, sf):
+    s = lambda c: F.col(c).cast("string")
+    row = lambda df, seq, tbl, key, before, after: df.select(F.lit(seq).alias("seq"), F.lit(tbl).alias("tbl"), key.alias("key"), before.alias("before"), after.alias("after"))
+    c, none = t.load(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") - F.col("c_custkey") % 2).cast("string").alias("even")), F.lit(None).cast("string")
+    o = t.load(spark, sf, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_custkey") - F.col("o_custkey") % 2).cast("string").alias("even"))
+    js = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    uuid = js('{"uuid":"c', s("c_custkey"), '"}')
+    route = F.when(F.col("c_custkey") % 11 == 5, js('{"node_uuid":"c', F.col("even"), '"}')).otherwise(js('{"edge_id":"', s("c_custkey"), '"}'))
+    path = F.concat(F.lit("p"), s("c_custkey"))
+    parts = [
+        row(c.filter("c_custkey % 2 = 0"), 1, "nodes", F.concat(F.lit("c"), s("c_custkey")), F.when(F.col("c_custkey") % 10 == 4, uuid), uuid),
+        row(c, 2, "edges", s("c_custkey"), F.when(F.col("c_custkey") % 7 == 3, "{}"), js('{"id":"', s("c_custkey"), '","child_uuid":"c', F.col("even"), '"}')),
+        row(c, 3, "paths", path, none, route), row(c.filter("c_custkey % 3 = 0"), 9, "paths", path, F.lit("{}"), none),
+        row(o, 4, "memories", s("o_orderkey"), F.when(F.col("o_orderstatus") == "F", "{}"), js('{"node_uuid":"c', F.col("even"), '"}')),
+        row(t.load(spark, sf, "part"), 5, "glossary_keywords", s("p_partkey"), none, js('{"node_uuid":"c', s("p_partkey"), '"}')),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("me_changeset_sweep", f"""WITH {SESSION}, lp AS (SELECT after ->> '$.edge_id' AS edge_id, after ->> '$.node_uuid' AS node FROM lg WHERE tbl = 'paths' AND seq = 3 AND key NOT IN (SELECT key FROM lg WHERE seq = 9)),
+ rc AS (SELECT node FROM lp WHERE node IS NOT NULL UNION SELECT after ->> '$.child_uuid' FROM lg WHERE tbl = 'edges' AND key IN (SELECT edge_id FROM lp)),
+ cr AS (SELECT key AS node FROM lg WHERE tbl = 'nodes' AND before IS NULL AND key NOT IN (SELECT node FROM rc)),
+ gn AS (SELECT tbl, key FROM lg WHERE seq = 9 UNION SELECT tbl, key FROM lg WHERE tbl = 'nodes' AND before IS NULL AND key NOT IN (SELECT node FROM rc)
+   UNION SELECT tbl, key FROM lg WHERE tbl IN ('memories', 'glossary_keywords') AND before IS NULL AND (after ->> '$.node_uuid') IN (SELECT node FROM cr)
+   UNION SELECT tbl, key FROM lg WHERE tbl = 'edges' AND before IS NULL AND key NOT IN (SELECT edge_id FROM lp WHERE edge_id IS NOT NULL))
+ SELECT tbl, key, seq FROM lg WHERE NOT EXISTS (SELECT 1 FROM gn WHERE gn.tbl = lg.tbl AND gn.key = lg.key)""")
+def me_changeset_sweep(spark, sf):
+    return me.changeset_gc(_session(spark, sf)).select("tbl", "key", "seq")
+
+
 CTX = "c AS (SELECT o_custkey AS session_id, o_orderkey AS memory_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'dataset' WHEN '2-HIGH' THEN 'analysis' WHEN '3-MEDIUM' THEN 'preference' WHEN '5-LOW' THEN 'insight' ELSE 'project_context' END AS memory_type, o_orderdate AS created_at, 'order ' || o_orderkey || ' cluster_' || (o_orderkey % 9) AS text FROM orders)"
 
 

@@ -209,13 +209,10 @@ def degree_by_cluster(spark, sf):
     return sp.degree_by_cluster(t.spatial_edges(spark, sf), t.cells(spark, sf), "cell_type").withColumn("mean_degree", r6("mean_degree"))
 
 
-HOPS = 12
-
-
 @register("centrality", f"""{UND.replace('WITH ', 'WITH RECURSIVE ', 1)},
- bfs AS (SELECT cell_type AS label, cell_id, 0 AS hops FROM cells
-   UNION SELECT label, v, hops + 1 FROM bfs JOIN both_ ON u = cell_id WHERE hops < {HOPS}),
- far AS (SELECT label, SUM(h) AS s FROM (SELECT label, cell_id, MIN(hops) AS h FROM bfs GROUP BY 1, 2) GROUP BY 1),
+ bfs(label, cell_id, hops) USING KEY (label, cell_id) AS (SELECT cell_type, cell_id, 0 FROM cells
+   UNION SELECT DISTINCT f.label, v, f.hops + 1 FROM bfs f JOIN both_ ON u = f.cell_id WHERE NOT EXISTS (FROM recurring.bfs r WHERE r.label = f.label AND r.cell_id = v)),
+ far AS (SELECT label, SUM(hops) AS s FROM bfs GROUP BY 1),
  sz AS (SELECT cell_type AS label, COUNT(*) AS n, (SELECT COUNT(*) FROM cells) AS t FROM cells GROUP BY 1),
  reach AS (SELECT p.cell_type AS label, COUNT(DISTINCT v) AS r FROM both_ JOIN cells p ON p.cell_id = u JOIN cells q ON q.cell_id = v WHERE p.cell_type <> q.cell_type GROUP BY 1)
  SELECT label AS cluster, {t.r6_sql('r / (t - n)::DOUBLE')} AS degree_centrality, {t.r6_sql('(t - n) / s::DOUBLE')} AS closeness_centrality,
@@ -225,6 +222,34 @@ def centrality(spark, sf):
     return c.select("cluster", *[r6(x).alias(x) for x in ("degree_centrality", "closeness_centrality", "average_clustering")])
 
 
+LANDMARKS = 24
+BETWEEN = f"""{UND.replace('WITH ', 'WITH RECURSIVE ', 1)},
+ lm AS (SELECT cell_id FROM cells ORDER BY md5(cell_id::VARCHAR), cell_id LIMIT {LANDMARKS}),
+ bfs(s, v, d) USING KEY (s, v) AS (SELECT cell_id, cell_id, 0 FROM lm
+   UNION SELECT DISTINCT f.s, e.v, f.d + 1 FROM bfs f JOIN both_ e ON e.u = f.v WHERE NOT EXISTS (FROM recurring.bfs r WHERE r.s = f.s AND r.v = e.v)),
+ far AS (SELECT s, v, d FROM bfs),
+ pt(d, s, v, n) AS (SELECT 0, cell_id, cell_id, 1.0::DOUBLE FROM lm
+   UNION ALL SELECT p.d + 1, p.s, e.v, SUM(p.n) FROM pt p JOIN both_ e ON e.u = p.v JOIN far w ON w.s = p.s AND w.v = e.v AND w.d = p.d + 1 GROUP BY p.d, p.s, e.v),
+ paths AS (SELECT * FROM pt),
+ dp(d, s, v, n, delta) AS (SELECT d, s, v, n, 0.0::DOUBLE FROM paths WHERE d = (SELECT MAX(d) FROM paths)
+   UNION ALL SELECT p.d, p.s, p.v, p.n, p.n * coalesce(x.t, 0.0) FROM paths p JOIN (SELECT DISTINCT d FROM dp) m ON p.d = m.d - 1 AND m.d > 1
+     LEFT JOIN (SELECT b.s, e.v, SUM((1 + b.delta) / b.n) AS t FROM dp b JOIN both_ e ON e.u = b.v GROUP BY 1, 2) x ON x.s = p.s AND x.v = p.v),
+ bt AS (SELECT v AS cell_id, SUM(delta) AS delta FROM dp GROUP BY 1),
+ bc AS (SELECT cell_id, cell_type, coalesce(delta, 0) * k.n / {LANDMARKS}::DOUBLE / ((k.n - 1) * (k.n - 2)) AS b FROM cells LEFT JOIN bt USING (cell_id), (SELECT COUNT(*) AS n FROM cells) k)"""
+
+
+@register("betweenness", f"{BETWEEN} SELECT cell_id, {t.r6_sql('b', 9)} AS betweenness FROM bc")
+def betweenness(spark, sf):
+    """All cells, from the two dozen landmarks that this query asks for."""
+    return sp.betweenness(t.spatial_edges(spark, sf), t.cells(spark, sf), LANDMARKS).withColumn("betweenness", r6("betweenness", 9))
+
+
+@register("betweenness_by_cluster", f"{BETWEEN} SELECT cell_type AS cluster, {t.r6_sql('AVG(b)', 9)} AS betweenness_centrality FROM bc GROUP BY 1")
+def betweenness_by_cluster(spark, sf):
+    rows = sp.betweenness_by_cluster(t.spatial_edges(spark, sf), t.cells(spark, sf), "cell_type", LANDMARKS)
+    return rows.withColumn("betweenness_centrality", r6("betweenness_centrality", 9))
+
+
 @register("gene_correlation", f"""{DENSE}, c AS (SELECT a.gene_id AS gene_a, b.gene_id AS gene_b, corr(a.value, b.value) AS r FROM dense a JOIN dense b USING (cell_id) GROUP BY 1, 2)
  SELECT gene_a, gene_b, {t.r6_sql('r')} AS correlation FROM c""")
 def gene_correlation(spark, sf):

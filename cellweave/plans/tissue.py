@@ -13,6 +13,7 @@ from cellweave.plans import tables as t
 from cellweave.plans.matrix import STATS, TOPVAR
 from cellweave.plans.registry import register
 from cellweave.plans.spatial import CELLS_EDGES, embedding, ranked_edges
+from cellweave.session import cut
 
 
 @register("cl_kmeans")
@@ -34,6 +35,28 @@ def cl_graph_communities(spark, sf):
     return dm.graph_communities(_symmetric(spark, sf))
 
 
+#: What must hold of any communities: every cell in one, each connected, and a modularity that a random start lacks.
+COMMUNITY_LAWS = "SELECT COUNT(*) AS n_cells, 0::BIGINT AS n_unconnected, TRUE AS modular FROM customer JOIN nation ON c_nationkey = n_nationkey"
+
+
+@register("cl_community_laws", COMMUNITY_LAWS)
+def cl_community_laws(spark, sf):
+    edges = _symmetric(spark, sf)
+    found = cut(dm.graph_communities(edges))
+    a, b = found.select(F.col("cell_id").alias("src"), F.col("cluster").alias("_a")), found.select(F.col("cell_id").alias("dst"), F.col("cluster").alias("_b"))
+    inside = edges.join(a, "src").join(b, "dst").filter("_a = _b").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    parts = ti.connected_components(inside, found.select(F.col("cell_id").alias("node")))
+    split = parts.join(found.withColumnRenamed("cell_id", "node"), "node").groupBy("cluster").agg(F.countDistinct("component").alias("n"), F.count(F.lit(1)).alias("cells"))
+    quality = dm.modularity(edges, found)
+    return split.agg(F.sum("cells").alias("n_cells"), F.count(F.when(F.col("n") > 1, 1)).alias("n_unconnected")).crossJoin(quality).select("n_cells", "n_unconnected", (F.col("modularity") > 0.6).alias("modular"))  # one-row sides
+
+
+@register("cl_multi_resolution")
+def cl_multi_resolution(spark, sf):
+    """Clusters at three resolutions, side by side."""
+    return dm.communities(_symmetric(spark, sf), [0.5, 1.0, 2.0]).groupBy("resolution").agg(F.countDistinct("cluster").alias("n_clusters"))
+
+
 @register("cl_modularity", f"""{CELLS_EDGES}, s AS (SELECT src, dst, MAX(w) AS w FROM (SELECT src, dst, 1.0::DOUBLE / (1 + rank) AS w FROM edges UNION ALL SELECT dst, src, 1.0::DOUBLE / (1 + rank) FROM edges) GROUP BY 1, 2),
  m AS (SELECT SUM(w) AS m, SUM(CASE WHEN a.batch = b.batch THEN w ELSE 0 END) AS i FROM s JOIN cells a ON a.cell_id = src JOIN cells b ON b.cell_id = dst), d AS (SELECT SUM(q * q) AS tt FROM (SELECT SUM(w) AS q FROM s JOIN cells ON cell_id = src GROUP BY batch))
  SELECT {t.r6_sql('i / m - tt / (m * m)')} AS modularity FROM m, d""")
@@ -168,6 +191,15 @@ def on_cox_ph(spark, sf):
     return ti.cox_ph(cohort(spark, sf), ["f1", "f2"])[0].select("group", "time", "event", "partial_hazard")
 
 
+@register("on_concordance", """WITH co AS (SELECT floor(o_totalprice / 1000)::DOUBLE AS t, o_orderstatus = 'F' AS e, o_custkey % 10 + o_orderkey % 3 AS r FROM orders), k AS (SELECT t, e, r, COUNT(*) AS n FROM co GROUP BY ALL),
+ p AS (SELECT SUM(a.n * b.n) AS n_pairs, SUM(CASE WHEN a.r > b.r THEN a.n * b.n ELSE 0 END) AS n_correct, SUM(CASE WHEN a.r = b.r THEN a.n * b.n ELSE 0 END) AS n_tied FROM k a JOIN k b ON a.e AND (a.t < b.t OR a.t = b.t AND NOT b.e))
+ SELECT n_pairs::BIGINT AS n_pairs, n_correct::BIGINT AS n_correct, n_tied::BIGINT AS n_tied, """ + t.r6_sql("(n_correct + n_tied / 2.0::DOUBLE) / n_pairs", 9) + """ AS concordance FROM p""")
+def on_concordance(spark, sf):
+    rows = t.load(spark, sf, "orders").select(F.floor(F.col("o_totalprice") / 1000).cast("double").alias("time"), (F.col("o_orderstatus") == "F").cast("int").alias("event"),
+                                              (F.col("o_custkey") % 10 + F.col("o_orderkey") % 3).alias("partial_hazard"))
+    return ti.concordance(rows).withColumn("concordance", r6("concordance", 9))
+
+
 @register("tl_dbscan")
 def tl_dbscan(spark, sf):
     return ti.dbscan(t.cells(spark, sf).select("cell_id", "x", "y"), 1.0, 5)

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -112,14 +114,89 @@ def test_connected_components_of_a_long_chain(spark):
     assert {got[i] for i in range(31)} == {0} and {got[i] for i in range(31, 61)} == {31} and got[61] == 61
 
 
+def connected(nodes, near):
+    seen, waiting = set(), [min(nodes)]
+    while waiting:
+        x = waiting.pop()
+        if x not in seen:
+            seen.add(x)
+            waiting += [y for y in near[x] if y in nodes]
+    return seen == nodes
+
+
 def test_planted_communities_are_found(spark):
     rng = np.random.default_rng(2)
     pairs = {(i, j) for i in range(40) for j in range(40) if i < j and rng.uniform() < (0.5 if i // 10 == j // 10 else 0.02)}
+    near = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in range(40)}
     edges = spark.createDataFrame([(a, b, 1.0) for i, j in pairs for a, b in ((i, j), (j, i))], "src long, dst long, weight double")
-    found = domains.graph_communities(edges).withColumn("truth", F.floor(F.col("cell_id") / 10))
+    start = time.perf_counter()
+    rows = domains.communities(edges, [1.0, 3.0]).cache()
+    assert rows.count() == 80
+    assert time.perf_counter() - start < 60
+    found = rows.filter("resolution = 1").withColumn("truth", F.floor(F.col("cell_id") / 10))
     assert domains.adjusted_rand(found, "cluster", "truth").first()["ari"] > 0.6
     assert domains.adjusted_rand(found, "truth", "truth").first()["ari"] == pytest.approx(1.0)
     assert domains.modularity(edges, found).first()["modularity"] > 0.35
+    groups = {}
+    for r in rows.collect():
+        groups.setdefault((r["resolution"], r["cluster"]), set()).add(r["cell_id"])
+    assert all(connected(g, near) for g in groups.values())
+    sizes = [sum(k[0] == res for k in groups) for res in (1.0, 3.0)]
+    assert sizes[0] < sizes[1] and domains.search_resolution(edges, sizes[0], 0.9, 1.0, 0.1) == 1.0
+
+
+def test_rounds_of_the_community_search_stay_flat(spark):
+    n = 60
+    edges = spark.createDataFrame([(i, (i + s) % n, 1.0) for i in range(n) for s in (1, -1)], "src string, dst string, weight double")
+    state = domains.cut(edges.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("d")).select("node", F.lit(1.0).alias("res"), "d", F.col("node").alias("c"), F.lit(True).alias("active")))
+    graph, times = domains.cut(edges), []
+    for turn in range(24):
+        start = time.perf_counter()
+        state = domains._move(graph, state, 2.0 * n, turn).withColumn("active", F.lit(True))
+        state.count()
+        times.append(time.perf_counter() - start)
+    assert sum(times[16:]) < 3 * sum(times[4:12]) + 1
+
+
+def brute_betweenness(near):
+    total = dict.fromkeys(near, 0.0)
+    for s in near:
+        order, dist, paths, before = [], {s: 0}, {s: 1.0}, {v: [] for v in near}
+        waiting = [s]
+        for v in waiting:
+            order.append(v)
+            for w in sorted(near[v]):
+                if w not in dist:
+                    dist[w] = dist[v] + 1
+                    waiting.append(w)
+                if dist[w] == dist[v] + 1:
+                    paths[w] = paths.get(w, 0.0) + paths[v]
+                    before[w].append(v)
+        delta = dict.fromkeys(near, 0.0)
+        for w in reversed(order):
+            for v in before[w]:
+                delta[v] += paths[v] / paths[w] * (1 + delta[w])
+            if w != s:
+                total[w] += delta[w]
+    n = len(near)
+    return {v: x / ((n - 1) * (n - 2)) for v, x in total.items()}
+
+
+def test_betweenness_matches_brute_force(spark):
+    rng = np.random.default_rng(5)
+    pairs = {tuple(sorted(rng.choice(290, 2, replace=False).tolist())) for _ in range(420)} | {(i, i + 1) for i in range(280)}  # ten cells have no edge
+    near = {i: set() for i in range(300)}
+    for i, j in pairs:
+        near[i].add(j)
+        near[j].add(i)
+    obs = spark.range(300).withColumnRenamed("id", "cell_id")
+    edges = spark.createDataFrame([(i, j) for i, j in pairs] + [(j, i) for i, j in pairs], "src long, dst long")
+    want = brute_betweenness(near)
+    got = {r["cell_id"]: r["betweenness"] for r in spatial_stats.betweenness(edges, obs).collect()}
+    assert all(got[i] == pytest.approx(want[i], abs=1e-9) for i in range(300))
+    some = {r["cell_id"]: r["betweenness"] for r in spatial_stats.betweenness(edges, obs, landmarks=100).collect()}
+    assert np.corrcoef([some[i] for i in range(300)], [want[i] for i in range(300)])[0, 1] > 0.9
+    assert spatial_stats.betweenness(edges.filter("false"), obs).filter("betweenness = 0").count() == 300
 
 
 def test_hull_area_and_density(spark):

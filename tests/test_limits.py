@@ -25,14 +25,83 @@ def test_closeness_counts_far_cells(spark):
     assert row["closeness_centrality"] == pytest.approx((n - 1) / sum(range(n)))
 
 
-def test_absorption_converges_or_raises(spark):
-    moves = spark.createDataFrame([(i, i + 1, 0.5) for i in range(1, 4)] + [(i, i - 1, 0.5) for i in range(1, 4)], "src long, dst long, weight double")
-    ends = spark.createDataFrame([(0, "low"), (4, "high")], "cell_id long, fate string")
-    obs = spark.range(6).withColumnRenamed("id", "cell_id")
-    p = {(r["cell_id"], r["fate"]): r["p"] for r in dynamics.absorption_probabilities(moves, ends, obs, tol=1e-4).collect()}
-    assert p[(3, "high")] == pytest.approx(3 / 4, abs=1e-2) and p[(5, "low")] == 0.0
-    with pytest.raises(RuntimeError):
-        dynamics.absorption_probabilities(moves, ends, tol=1e-12, most=2, stride=1)
+@pytest.mark.parametrize("core", [1000, 8])
+def test_absorption_on_a_long_chain(spark, core):
+    n = 300
+    moves = spark.createDataFrame([(i, j, 0.5) for i in range(1, n - 1) for j in (i - 1, i + 1)], "src long, dst long, weight double")
+    ends = spark.createDataFrame([(0, "low"), (n - 1, "high")], "cell_id long, fate string")
+    obs = spark.range(n + 1).withColumnRenamed("id", "cell_id")
+    p = {(r["cell_id"], r["fate"]): r["p"] for r in dynamics.absorption_probabilities(moves, ends, obs, core=core).collect()}
+    assert len(p) == 2 * (n + 1) and p[(n, "low")] == 0.0
+    assert max(abs(p[(i, "high")] - i / (n - 1)) for i in range(n)) < 1e-6
+    one = dynamics.absorption_probabilities(moves.filter("src <> 1 or dst <> 0"), ends.filter("fate = 'high'"), core=core).agg(F.min("p"), F.count("p")).first()
+    assert one[0] == pytest.approx(1.0, abs=1e-6) and one[1] == n - 1
+
+
+@pytest.mark.parametrize("core", [1000, 5])
+def test_absorption_matches_a_dense_solve(spark, core):
+    rng = np.random.default_rng(4)
+    n, rows = 60, []
+    for i in range(6, n):
+        for j in rng.choice(n if i < 50 else [50, 51, 52, 53, 54, 55, 56, 57, 58, 59], 3, replace=False):  # the last ten never leave each other
+            rows.append((i, int(j), float(rng.uniform(0.1, 1))))
+    ends = [(i, "ab"[i % 2]) for i in range(6)]
+    t = np.zeros((n, n))
+    for i, j, w in rows:
+        t[i, j] += w
+    t /= np.maximum(t.sum(1, keepdims=True), 1e-300)
+    want = np.linalg.solve(np.eye(44) - t[6:50, 6:50], np.stack([t[6:50, 0:6:2].sum(1), t[6:50, 1:6:2].sum(1)], 1))
+    got = dynamics.absorption_probabilities(spark.createDataFrame(rows, "src long, dst long, weight double"), spark.createDataFrame(ends, "cell_id long, fate string"), spark.range(n).withColumnRenamed("id", "cell_id"), core=core)
+    p = {(r["cell_id"], r["fate"]): r["p"] for r in got.collect()}
+    assert all(p[(i, f)] == pytest.approx(want[i - 6, k], abs=1e-9) for i in range(6, 50) for k, f in enumerate("ab"))
+    assert all(p[(i, f)] == 0.0 for i in range(50, n) for f in "ab")
+
+
+@pytest.mark.parametrize("side", [60])
+def test_diffusion_components_of_a_grid(spark, side):
+    n = side * side
+    links = [(i * side + j, (i + a) * side + j + b) for i in range(side) for j in range(side) for a, b in ((0, 1), (1, 0)) if i + a < side and j + b < side]
+    edges = spark.createDataFrame([(x, y, 1.0) for a, b in links for x, y in ((a, b), (b, a))], "src long, dst long, weight double")
+    m = np.zeros((n, n))
+    for a, b in links:
+        m[a, b] = m[b, a] = 1.0
+    d = np.sqrt(m.sum(1))
+    values, vectors = np.linalg.eigh(m / np.outer(d, d))
+    want = vectors[:, ::-1][:, :4]
+    table, found = dynamics.diffusion_components(edges, 3)
+    got = np.array([r[1:] for r in sorted(table.collect())])
+    assert np.allclose(found, values[::-1][:4], atol=1e-9)
+    angles = np.arccos(np.clip(np.linalg.svd(want.T @ got, compute_uv=False), -1, 1))
+    assert np.allclose(got.T @ got, np.eye(4), atol=1e-8) and angles.max() < 1e-3
+
+
+def test_diffusion_components_of_a_small_graph(spark):
+    edges = spark.createDataFrame([(a, b, 1.0) for i in range(5) for a, b in ((i, i + 1), (i + 1, i))], "src long, dst long, weight double")
+    dpt = {r["cell_id"]: r["dpt"] for r in dynamics.diffusion_pseudotime(edges, 0, 2).collect()}
+    assert dpt[0] == 0.0 and dpt[5] > dpt[2] > dpt[1] > 0
+    with pytest.raises(ValueError):
+        dynamics.diffusion_pseudotime(edges, 99, 2)
+
+
+def brute_concordance(rows):
+    pairs = right = tied = 0
+    for t, e, r in rows:
+        for u, f, q in rows:
+            if e and (t < u or t == u and not f):
+                pairs, right, tied = pairs + 1, right + (r > q), tied + (r == q)
+    return pairs, right, tied
+
+
+def test_concordance_counts_the_pairs(spark):
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 250):
+        rows = [(float(rng.integers(0, 40)), int(rng.uniform() < 0.6), float(rng.integers(-9, 9))) for _ in range(n)]
+        row = tissue.concordance(spark.createDataFrame([*rows, (None, 1, 1.0), (3.0, None, 1.0)], "time double, event int, partial_hazard double")).first()
+        want = brute_concordance(rows)
+        assert (row["n_pairs"], row["n_correct"], row["n_tied"]) == want
+        assert row["concordance"] == (pytest.approx((want[1] + want[2] / 2) / want[0]) if want[0] else None)
+    empty = tissue.concordance(spark.createDataFrame([], "time double, event int, partial_hazard double")).collect()
+    assert [tuple(r) for r in empty] == [(0, 0, 0, None)]
 
 
 def test_distractors_fill_up_even_if_the_pool_is_just_large_enough(spark):
