@@ -54,8 +54,9 @@ def traverse(vectors: np.ndarray, books: tuple[np.ndarray, np.ndarray], reach: f
     for part, book in ((vectors[:, :half], books[0]), (vectors[:, half:], books[1])):
         d = (part**2).sum(1)[:, None] - 2 * part @ book.T + (book**2).sum(1)
         own = d.argmin(1)
-        apart = np.sqrt(np.maximum(((book[:, None] - book) ** 2).sum(2), 1e-30))
-        plane = np.maximum(d - d[np.arange(len(d)), own][:, None], 0) / (2 * apart[own])
+        norms, mine = (book**2).sum(1), book[own]
+        apart = np.sqrt(np.maximum(norms[own][:, None] + norms - 2 * mine @ book.T, 1e-30))  # from each row's own centroid
+        plane = np.maximum(d - d[np.arange(len(d)), own][:, None], 0) / (2 * apart)
         plane[np.arange(len(d)), own] = 0
         order = np.argsort(plane, axis=1, kind="stable")
         ranks.append(order)
@@ -105,9 +106,10 @@ def _verify(frames: Iterator[pd.DataFrame], cosine: float, block: int = 1024) ->
     def whole(frame):
         names = frame["shard"].to_numpy()
         ids, n, stored = frame["id"].to_numpy(), frame["n"].to_numpy(), frame["stored"].to_numpy(bool)
-        vectors = np.frombuffer(b"".join(frame["unit"]), np.float64).reshape(len(frame), -1)
+        units = frame["unit"].tolist()
+        vectors = lambda s, e: np.frombuffer(b"".join(units[s:e]), np.float64).reshape(e - s, -1)  # noqa: E731  a shard holds one length
         ends = np.append(np.flatnonzero(np.diff(names)) + 1, len(names))
-        found = [shard(ids[s:e], n[s:e], vectors[s:e], stored[s:e]) for s, e in zip(np.append(0, ends[:-1]), ends, strict=True) if e - s > 1]
+        found = [shard(ids[s:e], n[s:e], vectors(s, e), stored[s:e]) for s, e in zip(np.append(0, ends[:-1]), ends, strict=True) if e - s > 1]
         if not found:
             return pd.DataFrame({"id": np.empty(0, np.int64), "links": np.empty(0, np.int64), "root": np.empty(0, np.int64)})
         return pd.DataFrame(dict(zip(("id", "links", "root"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
@@ -129,8 +131,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.
                     sample: int = 20_000, cell_rows: int = 32, shard_rows: int = 2048) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of ``vectors``.
 
-    Only rows with equal labels that are not null are compared.  Vectors that are null, zero, hold null
-    or non-finite components, or have another length than the most frequent one, link with nothing.
+    Only rows with equal labels that are not null, and of one length, are compared.  Vectors that are
+    null, zero, or hold null or non-finite components link with nothing.  The cells are laid over the most
+    frequent length; of other vectors the first so many components (zeros beyond the end) choose the
+    cell, which brings no two of them farther apart, and whole vectors are compared.
     Equal vectors of a label are folded into one with a count, and all linked with each other.  The
     codebooks are fitted on at most ``sample`` vectors (those of the smallest hashes) and have about
     sqrt(rows / ``cell_rows``) centroids each; every row is indexed.  A cell with more than
@@ -144,10 +148,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.
     rows = materialize(rows.withColumn("valid", valid))
     usual = rows.filter("valid").groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
     dims = usual["dims"] if usual else 0
-    good = F.col("valid") & (F.size("v") == dims)
+    good = F.col("valid")
     classes = rows.filter(good).groupBy("label", "v").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least")).withColumn("id", F.monotonically_increasing_id())
     classes = materialize(classes)
-    taught = [r["v"] for r in classes.orderBy(F.xxhash64("v"), "id").limit(sample).select("v").collect()]
+    taught = [r["v"] for r in classes.filter(F.size("v") == dims).orderBy(F.xxhash64("v"), "id").limit(sample).select("v").collect()]
     if not taught:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     points = np.array(taught)
@@ -161,23 +165,25 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.
         for frame in frames:
             if not len(frame):
                 continue
-            units = np.array(frame["v"].tolist())
-            units /= np.linalg.norm(units, axis=1, keepdims=True)
-            own, row, cell = traverse(units, books, reach)
+            units = [np.asarray(v, float) / np.linalg.norm(v) for v in frame["v"]]
+            laid = np.zeros((len(units), dims))
+            for to, unit in zip(laid, units):
+                to[:len(unit)] = unit[:dims]
+            own, row, cell = traverse(laid, books, reach)
             later = cell > own[row]  # a pair of cells is visited from the lower one
             row, cell = np.concatenate([np.arange(len(own)), row[later]]), np.concatenate([own, cell[later]])
             bytes_of = np.array([u.tobytes() for u in units], dtype=object)
-            yield pd.DataFrame({"id": frame["id"].to_numpy()[row], "label": frame["label"].to_numpy()[row], "n": frame["n"].to_numpy()[row],
+            yield pd.DataFrame({"id": frame["id"].to_numpy()[row], "label": frame["label"].to_numpy()[row], "size": frame["size"].to_numpy()[row], "n": frame["n"].to_numpy()[row],
                                 "cell": cell, "home": np.arange(len(row)) < len(own), "unit": bytes_of[row]})
 
     kind = classes.schema["label"].dataType.simpleString()
-    indexed = materialize(classes.select("id", "label", "n", "v").mapInPandas(index, f"id long, label {kind}, n long, cell long, home boolean, unit binary"))
-    cells = indexed.groupBy("label", "cell").agg(F.sum(F.col("home").cast("int")).alias("stored"), F.count(F.lit(1)).alias("all"))
-    cells = cells.filter("stored > 0 and all > 1").select("label", "cell", F.ceil(F.col("stored") / shard_rows).cast("int").alias("parts"))
+    indexed = materialize(classes.select("id", "label", F.size("v").alias("size"), "n", "v").mapInPandas(index, f"id long, label {kind}, size int, n long, cell long, home boolean, unit binary"))
+    cells = indexed.groupBy("label", "size", "cell").agg(F.sum(F.col("home").cast("int")).alias("stored"), F.count(F.lit(1)).alias("all"))
+    cells = cells.filter("stored > 0 and all > 1").select("label", "size", "cell", F.ceil(F.col("stored") / shard_rows).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     parts = F.when(F.col("home"), F.sequence(own, F.col("parts") - 1)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = indexed.join(cells, ["label", "cell"]).withColumn("own", own).withColumn("part", F.explode(parts)).select(
-        F.xxhash64("label", "cell", "part").alias("shard"), "id", "n", (F.col("home") & (F.col("part") == F.col("own"))).alias("stored"), "unit")
+    dealt = indexed.join(cells, ["label", "size", "cell"]).withColumn("own", own).withColumn("part", F.explode(parts)).select(
+        F.xxhash64("label", "size", "cell", "part").alias("shard"), "id", "n", (F.col("home") & (F.col("part") == F.col("own"))).alias("stored"), "unit")
     found = dealt.repartition("shard").sortWithinPartitions("shard").mapInPandas(lambda frames: _verify(frames, cosine), "id long, links long, root long")
     found = materialize(found)
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
