@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 SHAPES, STRINGS = 1024, 1024
 #: Terms for how much of a text lies in word pairs that occur again.
 REPEATS = 8
+#: Bytes of text worked on at a time; longer texts are read in slices of this size.
+SLICE = 250_000
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _byte_kinds() -> np.ndarray:
@@ -26,9 +29,52 @@ def _byte_kinds() -> np.ndarray:
 KINDS = _byte_kinds()
 
 
+def _spread(share: np.ndarray) -> np.ndarray:
+    """Shares of repeats as square roots of weights of the two nearest marks."""
+    return np.sqrt(np.maximum(0, 1 - np.abs(share[:, None] * (REPEATS - 1) - np.arange(REPEATS))))
+
+
+def _long_terms(raw: bytes) -> np.ndarray:
+    """:func:`terms` of one long text: counts add up over its slices, a word cut in two goes on in the next one."""
+    shapes, strings, words = np.zeros(SHAPES, np.int64), np.zeros(STRINGS, np.int64), []
+    open_sum, open_length = np.uint64(0), 0
+    for at in range(0, len(raw), SLICE):
+        data = np.frombuffer(raw, np.uint8, min(SLICE + 2, len(raw) - at), at).astype(np.uint32)
+        for codes, total in ((KINDS[data], shapes), (data, strings)):
+            code = codes[:-2] << 16 | codes[1:-1] << 8 | codes[2:]
+            total += np.bincount((code * np.uint32(2654435761) >> np.uint32(16)) % np.uint32(len(total)), minlength=len(total))
+        data = data[:SLICE]
+        blank = (data == 32) | (data >= 9) & (data <= 13)
+        begins = np.flatnonzero(~blank & np.append(True, blank[:-1]))
+        place = np.arange(len(data)) - (begins[np.maximum(np.searchsorted(begins, np.arange(len(data)), side="right") - 1, 0)] if len(begins) else 0)
+        going_on = open_length > 0 and not blank[0]
+        if going_on:
+            end = int(np.argmax(blank)) if blank.any() else len(data)
+            place[:end] += open_length
+        mixed = np.where(blank, np.uint64(0), (data.astype(np.uint64) + 1) * (MIX * (2 * place.astype(np.uint64) + 1)))
+        found = np.add.reduceat(mixed, begins) if len(begins) else np.empty(0, np.uint64)
+        if going_on:
+            found[:1] += open_sum
+        elif open_length:
+            words.append(np.array([open_sum]))
+        open_sum, open_length = np.uint64(0), 0
+        if len(begins) and not blank[-1]:
+            open_sum, open_length, found = found[-1], int(place[-1]) + 1, found[:-1]
+        words.append(found)
+    word = np.concatenate([*words, [open_sum] if open_length else []]).astype(np.uint64)
+    out = np.zeros(SHAPES + STRINGS + REPEATS, np.float32)
+    if len(word):
+        _, n = np.unique(word[:-1] * np.uint64(31) + word[1:], return_counts=True)
+        out[:SHAPES], out[SHAPES:SHAPES + STRINGS] = np.sqrt(shapes / max(shapes.sum(), 1)), np.sqrt(strings / max(strings.sum(), 1))
+        out[SHAPES + STRINGS:] = _spread(np.array([n[n > 2].sum() / max(len(word) - 1, 1)]))[0]
+    return out
+
+
 def terms(texts: list[str]) -> np.ndarray:
     """Square roots of the shares of each term family, one row for each text; a text without words is all zero."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    if sum(map(len, raw)) > SLICE and len(raw) == 1:
+        return _long_terms(raw[0])[None]
     lengths = np.fromiter(map(len, raw), np.int64, len(raw))
     out = np.zeros((len(raw), SHAPES + STRINGS + REPEATS), np.float32)
     if not lengths.sum():
@@ -46,7 +92,7 @@ def terms(texts: list[str]) -> np.ndarray:
     begins = np.flatnonzero(~blank & np.append(True, blank[:-1] | (owner[1:] != owner[:-1])))
     if len(begins):
         place = np.arange(len(data)) - np.repeat(begins, np.diff(np.append(begins, len(data)))) if begins[0] == 0 else np.arange(len(data)) - begins[np.maximum(np.searchsorted(begins, np.arange(len(data)), side="right") - 1, 0)]
-        mixed = np.where(blank, 0, (data.astype(np.uint64) + 1) * (np.uint64(0x9E3779B97F4A7C15) * (2 * place.astype(np.uint64) + 1)))
+        mixed = np.where(blank, 0, (data.astype(np.uint64) + 1) * (MIX * (2 * place.astype(np.uint64) + 1)))
         word = np.add.reduceat(mixed, begins)
         of = owner[begins]
         pair = word[:-1] * np.uint64(31) + word[1:] ^ of[:-1].astype(np.uint64) << np.uint64(40)
@@ -54,9 +100,7 @@ def terms(texts: list[str]) -> np.ndarray:
         _, where, n = np.unique(pair, return_inverse=True, return_counts=True)
         share = np.bincount(of, n[where] > 2, len(raw)) / np.maximum(np.bincount(of, minlength=len(raw)), 1)
         has = np.bincount(owner[begins], minlength=len(raw)) > 0
-        spot = share * (REPEATS - 1)
-        grid = np.maximum(0, 1 - np.abs(spot[:, None] - np.arange(REPEATS)))
-        out[:, SHAPES + STRINGS:] = np.where(has[:, None], np.sqrt(grid), 0)
+        out[:, SHAPES + STRINGS:] = np.where(has[:, None], _spread(share), 0)
         out[~has] = 0
     return out
 
@@ -77,7 +121,7 @@ class Voters:
         v = (rows - self.mean) @ self.basis
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
-    def score(self, texts: list[str], block: int = 512, room: int = 2_000_000) -> np.ndarray:
+    def score(self, texts: list[str], block: int = 512, room: int = SLICE // 2) -> np.ndarray:
         out = np.full(len(texts), self.prior)
         begin = 0
         while begin < len(texts):
@@ -110,15 +154,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     leading singular directions of the sample's weighted terms.
     """
     chosen = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("_label")).filter(F.col("_label").isin(0, 1) & ~held_out(F.col("_id")))
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample)
+    chosen = chosen.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
 
     def featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"label": frame["_label"].astype("int32"), "row": [terms([t or ""])[0].astype(np.float32).tobytes() for t in frame["_text"]]})
 
-    # repeated rows of a document could exceed the sample: the bound holds for what is collected
-    got = texts.select("_label", "_text").mapInPandas(featured, "label int, row binary").limit(sample).toPandas()
+    # a repeated id gives one row, the same one in every run: the bound holds for what is collected
+    once = texts.groupBy("_id").agg(F.max("_label").alias("_label"), F.min("_text").alias("_text"))
+    got = once.select("_label", "_text").mapInPandas(featured, "label int, row binary").toPandas()
     width = SHAPES + STRINGS + REPEATS
     rows = np.frombuffer(b"".join(got.pop("row")), np.float32).reshape(len(got), width) if len(got) else np.zeros((0, width), np.float32)
     answers = got["label"].to_numpy(float) if len(got) else np.zeros(0)
@@ -127,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     prior = float(answers.mean()) if len(answers) else 1.0
     if len(rows) < 2:
         return Voters(np.zeros(width, np.float32), np.zeros((width, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), prior, k, power)
-    order = np.lexsort((*rows[:, :4].T, answers))  # the same rows in any order give the same model
+    order = sorted(range(len(rows)), key=lambda i: (answers[i], rows[i].tobytes()))  # the same rows in any order give the same model
     rows, answers = rows[order], answers[order]
     mean = rows.mean(0)
     rows -= mean
@@ -159,7 +204,11 @@ def scored(docs: DataFrame, voters: Voters, text: str = "text", out: str = "scor
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """(doc_id, held_out, score, predicted), one row for each row of ``docs``; null ids count as held out."""
+    """(doc_id, held_out, score, predicted), one row for each row of ``docs``; null ids count as held out.
+
+    Repeated rows are rows of their own, columns beyond the named ones are ignored, and an empty table
+    gives an empty result.
+    """
     voters = fit(docs, labels, doc_id, text, **options)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return scored(rows, voters).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -167,5 +216,5 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 def keep(docs: DataFrame, voters: Voters, text: str = "text") -> DataFrame:
     """The rows of ``docs`` predicted to be of label 1, with all their columns, whatever these are called."""
-    whole = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
-    return scored(whole, voters, "_text", "_score").filter("_score >= 0.5").select("_row.*")
+    whole = docs.select(F.struct("*").alias("_row"))  # carried once: the text is read out of the row
+    return scored(whole, voters, f"_row.{text}", "_score").filter("_score >= 0.5").select("_row.*")
