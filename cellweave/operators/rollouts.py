@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 
 from cellweave.functions import stats as S
 from cellweave.operators.de import top_per_group
+from cellweave.session import materialize
 
 
 def _sum(array: Column) -> Column:
@@ -221,14 +222,45 @@ def best_of_n(df: DataFrame, n: int, uid: str = "uid", score: str = "score") ->
     return moments.select(uid, F.col("_best1").alias("best_mean"), sd("best").alias("best_std"), F.col("_worst1").alias("worst_mean"), sd("worst").alias("worst_std"))
 
 
+def bootstrap_votes(df: DataFrame, n: int, draws: int = 1000, seed: int = 42, uid: str = "uid", score: str = "score", order: str = "sample_id", pred: str | None = None) -> DataFrame:
+    """Mean and sd over ``draws`` resamples of n rows of each prompt: best, worst and, with ``pred``, the majority's value.
+
+    Pick j of draw i is row number md5(seed-i-j) mod the prompt's size, in the order of md5(seed-order): the
+    same for all prompts of a size.  Rows that no pick names leave first, so a prompt sends at most
+    draws * n rows; its draws are then made inside one array, never as rows.  In a draw the prediction
+    picked most often wins, the first picked of equal ones, with the value of its first pick.
+    """
+    rows = df.select(F.col(uid).alias("uid"), F.col(score).alias("value"), F.col(order).alias("_o"), *([F.col(pred).alias("pred")] if pred else []))
+    slots = S.hash_order(rows, F.concat_ws("-", F.lit(seed), F.col("_o")), by=["uid"])
+    sizes = materialize(rows.groupBy("uid").agg(F.count(F.lit(1)).alias("m")))
+    number = lambda i, j: F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), i.cast("string"), j.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    all_picks = F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda j: number(i, j)))
+    # one row for each size that occurs
+    picks = materialize(sizes.select("m").distinct().withColumn("_all", all_picks).withColumn("picks", F.transform("_all", lambda d: F.transform(d, lambda x: x % F.col("m") + 1))).select("m", "picks"))
+    named = picks.select("m", F.explode(F.array_distinct(F.flatten("picks"))).alias("slot"))
+    sent = slots.join(sizes, "uid").join(named, ["m", "slot"])
+    cell = F.struct("value", "pred") if pred else F.struct("value")
+    packed = sent.groupBy("uid", "m").agg(F.map_from_entries(F.collect_list(F.struct("slot", cell.alias("c")))).alias("cells"))  # at most draws * n rows
+    drawn = packed.join(picks, "m").select("uid", F.transform("picks", lambda d: F.transform(d, lambda k: F.element_at("cells", k))).alias("draws"))
+
+    def majority(cells):
+        kinds = F.array_distinct(F.transform(cells, lambda c: F.struct(c["pred"].alias("p"))))
+        votes = F.transform(kinds, lambda k: F.size(F.filter(cells, lambda c: c["pred"].eqNullSafe(k["p"]))))
+        winner = F.element_at(kinds, F.array_position(votes, F.array_max(votes)).cast("int"))
+        return F.element_at(F.filter(cells, lambda c: c["pred"].eqNullSafe(winner["p"])), 1)["value"]
+
+    values = lambda cells: F.transform(cells, lambda c: c["value"])
+    reduced = {"best": lambda c: F.array_max(values(c)), "worst": lambda c: F.array_min(values(c))} | ({"majority": majority} if pred else {})
+    each = drawn.select("uid", *[F.transform("draws", fn).alias(name) for name, fn in reduced.items()])
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c)
+    out = each.select("uid", *[x for name in reduced for x in (mean(name).alias(f"{name}_mean"), name)])
+    spread = lambda name: F.sqrt(F.aggregate(name, F.lit(0.0), lambda a, x: a + (x - F.col(f"{name}_mean")) * (x - F.col(f"{name}_mean"))) / F.size(name))
+    return out.select(F.col("uid").alias(uid), *[x for name in reduced for x in (F.col(f"{name}_mean"), spread(name).alias(f"{name}_std"))])
+
+
 def bootstrap_best_of_n(df: DataFrame, n: int, draws: int = 1000, seed: int = 42, uid: str = "uid", score: str = "score", order: str = "sample_id") -> DataFrame:
-    """The same quantities from hash-seeded resamples of each prompt's scores."""
-    slots = S.hash_order(df.select(uid, score, order), F.concat_ws("-", F.lit(seed), F.col(order)), by=[uid])
-    sizes = df.groupBy(uid).agg(F.count(F.lit(1)).alias("_m"))
-    picks = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    picks = picks.withColumn("slot", F.pmod(F.xxhash64(F.col(uid), "draw", "_j", F.lit(seed)), F.col("_m")) + 1)
-    per_draw = picks.join(slots, [uid, "slot"]).groupBy(uid, "draw").agg(F.max(score).alias("_b"), F.min(score).alias("_w"))
-    return per_draw.groupBy(uid).agg(F.avg("_b").alias("best_mean"), F.stddev_pop("_b").alias("best_std"), F.avg("_w").alias("worst_mean"), F.stddev_pop("_w").alias("worst_std"))
+    """The quantities of :func:`best_of_n` from hash-seeded resamples of each prompt's scores."""
+    return bootstrap_votes(df, n, draws, seed, uid, score, order)
 
 
 def majority_vote(df: DataFrame, uid: str = "uid", pred: str = "pred", value: str = "score", order: str = "sample_id") -> DataFrame:
@@ -295,8 +327,18 @@ def qa_score(df: DataFrame, key: str = "id", pred: str = "response", golds: str
     return scored.groupBy(key).agg(best.alias("_b")).select(key, "_b.*")
 
 
-def eval_summary(scores: DataFrame) -> DataFrame:
-    """Per-row metrics rounded to two places, averaged, times 100."""
+def eval_summary(scores: DataFrame, sampling: int = 1, output: str | None = None) -> DataFrame:
+    """Per-row metrics rounded to two places, averaged, times 100.
+
+    Rows whose ``output`` is empty are left out.  With ``sampling`` each row counts so many times, as it does
+    where the set is asked again; the replicates are weights of the mean, not rows, and their
+    number is returned in ``n_rows``.
+    """
+    if output is not None:
+        scores = scores.filter(F.coalesce(F.trim(output), F.lit("")) != "")
+    if sampling > 1 or output is not None:
+        weighted = lambda c: F.sum(F.floor(F.col(c) * 100.0 + 0.5) / 100.0 * sampling) / F.sum(F.lit(sampling)) * 100.0
+        return scores.agg(*[F.round(weighted(c), 6).alias(c) for c in ("em", "sub_em", "f1")], F.coalesce(F.sum(F.lit(sampling)), F.lit(0)).cast("long").alias("n_rows"))
     return scores.agg(*[F.round(F.avg(F.floor(F.col(c) * 100.0 + 0.5) / 100.0) * 100.0, 6).alias(c) for c in ("em", "sub_em", "f1")])
 
 

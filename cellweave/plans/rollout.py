@@ -113,9 +113,23 @@ def rl_best_of_n(spark, sf):
     return b.select("uid", r6("best_mean", 5).alias("best_mean"), r6("worst_mean", 5).alias("worst_mean"))
 
 
-@register("rl_bootstrap_best_of_n")
+DRAWS = """sl AS (SELECT user_id AS uid, value, event_type AS pred, COUNT(*) OVER (PARTITION BY user_id) AS m, row_number() OVER (PARTITION BY user_id ORDER BY md5('42-' || event_id)) AS slot FROM events),
+ pk AS (SELECT i, j, CAST('0x' || substr(md5('42-' || i || '-' || j), 1, 8) AS BIGINT) AS h FROM (SELECT unnest(range(1, 101)) AS i), (SELECT unnest(range(1, 5)) AS j)),
+ dr AS (SELECT uid, i, j, value, pred FROM (SELECT DISTINCT uid, m FROM sl) u CROSS JOIN pk JOIN sl USING (uid) WHERE slot = h % u.m + 1)"""
+
+
+@register("rl_bootstrap_best_of_n", f"""WITH {DRAWS}, d AS (SELECT uid, i, MAX(value) AS b, MIN(value) AS w FROM dr GROUP BY 1, 2)
+ SELECT uid, {t.r6_sql('AVG(b)', 5)} AS best_mean, {t.r6_sql('stddev_pop(b)', 5)} AS best_std, {t.r6_sql('AVG(w)', 5)} AS worst_mean, {t.r6_sql('stddev_pop(w)', 5)} AS worst_std FROM d GROUP BY 1""")
 def rl_bootstrap_best_of_n(spark, sf):
-    return ro.bootstrap_best_of_n(scores(spark, sf), 4, 100)
+    b = ro.bootstrap_best_of_n(scores(spark, sf), 4, 100)
+    return b.select("uid", *[r6(c, 5).alias(c) for c in ("best_mean", "best_std", "worst_mean", "worst_std")])
+
+
+@register("rl_bootstrap_majority", f"""WITH {DRAWS}, v AS (SELECT uid, i, pred, COUNT(*) AS n, MIN(j) AS f, arg_min(value, j) AS value FROM dr GROUP BY 1, 2, 3), w AS (SELECT uid, i, arg_max(value, (n, -f)) AS value FROM v GROUP BY 1, 2)
+ SELECT uid, {t.r6_sql('AVG(value)', 5)} AS majority_mean, {t.r6_sql('stddev_pop(value)', 5)} AS majority_std FROM w GROUP BY 1""")
+def rl_bootstrap_majority(spark, sf):
+    b = ro.bootstrap_votes(scores(spark, sf), 4, 100, pred="data_source")
+    return b.select("uid", *[r6(c, 5).alias(c) for c in ("majority_mean", "majority_std")])
 
 
 @register("rl_majority_vote", """WITH v AS (SELECT user_id AS uid, event_type AS pred, COUNT(*) AS n_votes, MIN(event_id) AS f, arg_min(value, event_id) AS value FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY n_votes DESC, f) AS rn FROM v) SELECT uid, pred, n_votes, value FROM r WHERE rn = 1""")
@@ -159,6 +173,12 @@ def rl_eval_summary(spark, sf):
     return ro.eval_summary(ro.qa_score(qa(spark, sf))).withColumn("f1", F.round("f1", 4))
 
 
+@register("rl_eval_replicates", f"{QA} SELECT round(SUM(floor(em * 100 + 0.5) / 100 * 4) / (COUNT(*) * 4) * 100, 6) AS em, round(AVG(floor(sub_em * 100 + 0.5) / 100) * 100, 6) AS sub_em, round(AVG(floor(f1 * 100 + 0.5) / 100) * 100, 4) AS f1, (COUNT(*) * 4)::BIGINT AS n_rows FROM sc")
+def rl_eval_replicates(spark, sf):
+    """The question set asked four times."""
+    return ro.eval_summary(ro.qa_score(qa(spark, sf)), sampling=4).withColumn("f1", F.round("f1", 4))
+
+
 ACT = "SELECT conv_id, turn, text, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 0 END AS action, CASE role WHEN 'user' THEN '<recall>' || text || '</recall>' WHEN 'assistant' THEN '<update>' || text || '</update><update> </update>' ELSE '\\boxed{' || text || '}' END AS response FROM conversations"
 
 

@@ -96,6 +96,40 @@ def st_evict_lru(spark, sf):
     return ms.evict_lru(t.load(spark, sf, "events").select(F.col("user_id").alias("key"), "ts"), most=50).select("key")
 
 
+def _raw_stream(spark, sf):
+    return spark.readStream.schema(t.load(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+@register("st_usage_stream", f"""WITH p AS (SELECT * FROM (VALUES ('view', 2.0::DOUBLE, 8.0::DOUBLE), ('click', 1.0, 4.0), ('purchase', 5.0, 0.5)) v(model, a, b)),
+ w AS (SELECT event_type AS model, value, user_id, epoch_us(ts) // 21600000000 - k AS slot, k FROM events, (SELECT unnest([0, 1, 2, 3]) AS k)),
+ g AS (SELECT slot, model, COUNT(*) AS n_calls, SUM(user_id)::BIGINT AS completion_tokens, SUM(value * coalesce(a, 0) + user_id * coalesce(b, 0)) / 1e6 AS cost FROM w LEFT JOIN p USING (model) GROUP BY 1, 2)
+ SELECT slot, model, n_calls, completion_tokens, {t.r6_sql('cost')} AS cost FROM g""")
+def st_usage_stream(spark, sf):
+    """A day sliding by six hours, as a stream, with cost; the watermark outlasts the data so that every window counts."""
+    raw = _raw_stream(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("model"), F.col("value").alias("prompt_tokens"), F.col("user_id").alias("completion_tokens"))
+    prices = spark.createDataFrame([("view", 2.0, 8.0), ("click", 1.0, 4.0), ("purchase", 5.0, 0.5)], "model string, prompt_price double, completion_price double")
+    sums = ms.stream_usage(raw, "24 hours", "6 hours", "3650 days", prices)
+    name = f"usage_{uuid.uuid4().hex}"
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    query = sums.writeStream.outputMode("complete").foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/sums")).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = spark.read.schema(sums.schema).parquet(f"{folder}/sums")
+    slot = F.floor(F.unix_micros("window.start") / F.lit(21_600_000_000)).cast("long")
+    return out.select(slot.alias("slot"), "model", "n_calls", "completion_tokens", r6("cost").alias("cost"))
+
+
+@register("st_evict_stream", "SELECT user_id AS key, MAX(ts) AS last_access FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+def st_evict_stream(spark, sf):
+    """The fifty users seen last, kept by a stream."""
+    accesses = _raw_stream(spark, sf).select(F.col("user_id").alias("key"), "ts")
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/lru-{uuid.uuid4().hex}"
+    query = ms.stream_evict_lru(accesses, folder, most=50)
+    query.awaitTermination()
+    return ms.kept_keys(query, accesses, folder).select("key", "last_access")
+
+
 # ------------------------------------------------------------------- dataset checks
 @register("io_unique_ids", "SELECT p_partkey, CASE WHEN row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) > 1 THEN p_name || '-' || (row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1) ELSE p_name END AS p_name FROM part")
 def io_unique_ids(spark, sf):

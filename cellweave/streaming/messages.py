@@ -146,10 +146,18 @@ def stream_truncate(messages: DataFrame, most: int = 50_000, suffix: str = "...
     return messages.withColumn("content", F.when(F.length("content") > most, cut).otherwise(F.col("content")))
 
 
-def stream_usage(usage: DataFrame, window: str = "1 hour", slide: str | None = None, watermark: str = "10 minutes") -> DataFrame:
-    """Calls and tokens per model and window."""
-    return usage.withWatermark("ts", watermark).groupBy(F.window("ts", window, slide), "model").agg(
-        F.count(F.lit(1)).alias("n_calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
+def stream_usage(usage: DataFrame, window: str = "1 hour", slide: str | None = None, watermark: str = "10 minutes", prices: DataFrame | None = None) -> DataFrame:
+    """Calls and tokens per model and window, tumbling or sliding by ``slide``; rows later than the watermark are left out.
+
+    ``prices`` (model, prompt_price, completion_price), per million tokens, adds ``cost``; a model without
+    a price costs nothing.
+    """
+    timed, sums = usage.withWatermark("ts", watermark), [F.count(F.lit(1)).alias("n_calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens")]
+    if prices is not None:
+        timed = timed.join(F.broadcast(prices), "model", "left")  # one row for each model
+        paid = F.col("prompt_tokens") * F.coalesce("prompt_price", F.lit(0.0)) + F.col("completion_tokens") * F.coalesce("completion_price", F.lit(0.0))
+        sums.append((F.sum(paid) / 1e6).alias("cost"))
+    return timed.groupBy(F.window("ts", window, slide), "model").agg(*sums)
 
 
 def stream_sessions(messages: DataFrame, gap: str = "30 minutes", watermark: str = "10 minutes", keys=("channel", "chat_id")) -> DataFrame:
@@ -168,6 +176,34 @@ def evict_lru(accesses: DataFrame, key: str = "key", most: int = 1000) -> DataFr
     return accesses.groupBy(key).agg(F.max("ts").alias("last_access")).orderBy(F.desc("last_access"), key).limit(most)
 
 
+def stream_evict_lru(accesses: DataFrame, folder: str, key: str = "key", most: int = 1000):
+    """Keep the ``most`` recently used keys of a stream of accesses(key, ts) in a table below ``folder``.
+
+    Each micro-batch is reduced to one row a key, merged with the table the batch before it left, and
+    cut to the newest keys (ties: the smaller key).  A table is written under its batch's number, so a batch
+    that is run again after a failure writes the same one.  Returns the query; :func:`kept_keys` reads the
+    last table.
+    """
+    spark = accesses.sparkSession
+    schema = accesses.select(key, F.col("ts").alias("last_access")).schema
+
+    def merge(batch: DataFrame, number: int) -> None:
+        new = batch.groupBy(key).agg(F.max("ts").alias("last_access"))
+        old = spark.read.schema(schema).parquet(f"{folder}/keys/{number - 1:012d}") if number else spark.createDataFrame([], schema)
+        merged = old.unionByName(new).groupBy(key).agg(F.max("last_access").alias("last_access"))
+        merged.orderBy(F.desc("last_access"), key).limit(most).write.mode("overwrite").parquet(f"{folder}/keys/{number:012d}")
+
+    return accesses.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+
+
+def kept_keys(query, accesses: DataFrame, folder: str, key: str = "key") -> DataFrame:
+    """The keys that :func:`stream_evict_lru` keeps after its last micro-batch."""
+    last = query.lastProgress["batchId"] if query.lastProgress else None
+    schema = accesses.select(key, F.col("ts").alias("last_access")).schema
+    spark = accesses.sparkSession
+    return spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(f"{folder}/keys/{last:012d}")
+
+
 def audit_append(events: DataFrame, path: str, checkpoint: str):
     """Append events as JSON lines until the available data is consumed."""
     return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
