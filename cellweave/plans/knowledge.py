@@ -111,10 +111,15 @@ def me_apply_versions(spark, sf):
     return me.apply_versions(memories(spark, sf)).select("id", "migrated_to", "deprecated")
 
 
-@register("me_cascade_delete", f"WITH {TREE} SELECT domain, path FROM p JOIN e ON e.id = edge_id WHERE NOT (domain = 'geo' AND parent_uuid = 'r1') AND NOT (domain = 'geo' AND child_uuid = 'r1') AND NOT (domain = 'geo' AND starts_with(path, (SELECT r_name FROM region WHERE r_regionkey = 1) || '/'))")
+@register("me_cascade_delete", f"""WITH {TREE} SELECT 'paths' AS tbl, domain || '://' || path AS key FROM p JOIN e ON e.id = edge_id WHERE NOT (domain = 'geo' AND parent_uuid = 'r1') AND NOT (domain = 'geo' AND child_uuid = 'r1')
+   AND NOT (domain = 'geo' AND starts_with(path, (SELECT r_name FROM region WHERE r_regionkey = 1) || '/'))
+ UNION ALL SELECT 'edges', id::VARCHAR FROM e WHERE parent_uuid <> 'r1' AND child_uuid <> 'r1' UNION ALL SELECT 'memories', id::VARCHAR FROM m WHERE node_uuid <> 'r1'""")
 def me_cascade_delete(spark, sf):
     doomed = t.load(spark, sf, "region").filter("r_regionkey = 1").select(F.lit("r1").alias("node_uuid"))
-    return me.cascade_delete(edges(spark, sf), paths(spark, sf), memories(spark, sf), doomed)["paths"].select("domain", "path")
+    left = me.cascade_delete(edges(spark, sf), paths(spark, sf), memories(spark, sf), doomed)
+    keys = {"paths": me.uri(), "edges": F.col("id").cast("string"), "memories": F.col("id").cast("string")}
+    rows = [left[name].select(F.lit(name).alias("tbl"), key.alias("key")) for name, key in keys.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @register("me_orphans", f"WITH {TREE} SELECT 'empty_node' AS kind, child_uuid AS ref FROM e WHERE child_uuid NOT IN (SELECT node_uuid FROM m)")
@@ -242,13 +247,13 @@ def tx_snippet(spark, sf):
     return t.load(spark, sf, "documents").select("doc_id", tx.snippet(F.col("text"), "queux xyz").alias("snippet"))
 
 
-@register("tx_tfidf_topk", f"""WITH {QUERIES_CTE}, dw AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents WHERE lang = 'en'), c AS (SELECT doc_id, term, COUNT(*) AS tf FROM dw GROUP BY 1, 2),
- i AS (SELECT term, ln((1.0::DOUBLE + (SELECT COUNT(*) FROM documents WHERE lang = 'en')) / (1 + COUNT(*))) + 1 AS idf FROM c GROUP BY 1), nm AS (SELECT doc_id, sqrt(SUM(tf * idf * tf * idf)) AS norm FROM c JOIN i USING (term) GROUP BY 1),
+@register("tx_tfidf_topk", f"""WITH {QUERIES_CTE}, dw AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents), c AS (SELECT doc_id, term, COUNT(*) AS tf FROM dw GROUP BY 1, 2),
+ i AS (SELECT term, ln((1.0::DOUBLE + (SELECT COUNT(*) FROM documents)) / (1 + COUNT(*))) + 1 AS idf FROM c GROUP BY 1), nm AS (SELECT doc_id, sqrt(SUM(tf * idf * tf * idf)) AS norm FROM c JOIN i USING (term) GROUP BY 1),
  qw AS (SELECT query_id, term, COUNT(*) * any_value(idf) AS w FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM q) JOIN i USING (term) GROUP BY 1, 2), qn AS (SELECT query_id, sqrt(SUM(w * w)) AS qnorm FROM qw GROUP BY 1),
  s AS (SELECT query_id, doc_id, SUM(tf * idf * w) / any_value(norm) / any_value(qnorm) AS s FROM qw JOIN c USING (term) JOIN i USING (term) JOIN nm USING (doc_id) JOIN qn USING (query_id) GROUP BY 1, 2),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM s) SELECT q.query_id, doc_id, {t.r6_sql('coalesce(s, 0)')} AS score, rank FROM q LEFT JOIN (SELECT * FROM r WHERE rank <= 3) x USING (query_id)""")
 def tx_tfidf_topk(spark, sf):
-    return tx.tfidf_topk(t.load(spark, sf, "documents").filter("lang = 'en'"), two_words(spark, sf)).withColumn("score", r6("score"))
+    return tx.tfidf_topk(t.load(spark, sf, "documents"), two_words(spark, sf)).withColumn("score", r6("score"))
 
 
 @register("tx_route_keywords", """WITH l AS (SELECT conv_id, turn, trim(lower(text)) AS x FROM conversations), s AS (SELECT *, CASE WHEN contains(x, 'the') THEN 3 ELSE 0 END + CASE WHEN contains(x, 'tion') THEN 4 ELSE 0 END AS a, CASE WHEN contains(x, 'eaux') THEN 4 ELSE 0 END + CASE WHEN contains(x, 'que') THEN 3 ELSE 0 END AS b, CASE WHEN contains(x, 'ung') THEN 3 ELSE 0 END AS c FROM l)
@@ -263,9 +268,14 @@ def tx_route_extension(spark, sf):
     return t.load(spark, sf, "pages").select("page_id", tx.route_extension(F.col("url"), {".com": "web", ".html": "page"}, "other").alias("target"))
 
 
-@register("tx_classify_intent", """SELECT doc_id, contains(x, 'remember') OR contains(x, 'memory') OR contains(x, 'recall') AS recall, contains(x, 'recent') OR contains(x, 'latest') OR contains(x, 'current') OR contains(x, 'output path') OR contains(x, 'output directory') AS recent FROM (SELECT doc_id, lower(text) AS x FROM documents)""")
+def _cues(cues) -> str:
+    return " OR ".join(f"contains(x, '{c}')" for c in cues)
+
+
+@register("tx_classify_intent", f"""SELECT doc_id, {_cues(tx.RECALL_CUES)} AS recall, {_cues(tx.RECENT_CUES)} AS recent,
+ {_cues(tx.CONTINUE_CUES)} OR {' OR '.join(f"(contains(x, '{a}') AND contains(x, '{b}'))" for a, b in tx.CONTINUE_PAIRS)} AS continuation FROM (SELECT doc_id, lower(text) AS x FROM documents)""")
 def tx_classify_intent(spark, sf):
-    return t.load(spark, sf, "documents").select("doc_id", tx.classify_intent(F.col("text")).alias("i")).select("doc_id", "i.recall", "i.recent")
+    return t.load(spark, sf, "documents").select("doc_id", tx.classify_intent(F.col("text")).alias("i")).select("doc_id", "i.recall", "i.recent", "i.continuation")
 
 
 @register("tx_focus_terms", "SELECT event_id, 'domain_' || user_id || ' cluster_' || user_id || CASE WHEN user_id = event_id THEN '' ELSE ' cell_type_' || event_id END AS terms FROM events WHERE user_id <> event_id UNION ALL SELECT event_id, 'domain_' || user_id || ' cluster_' || user_id || ' cell_type_' || event_id FROM events WHERE user_id = event_id")

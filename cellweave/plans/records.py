@@ -219,10 +219,10 @@ def me_targeted_context(spark, sf):
     return me.targeted_context(queries, _typed(spark, sf))
 
 
-@register("me_related_insights", "SELECT l_orderkey AS memory_id, COUNT(*) AS overlap FROM lineitem WHERE l_partkey % 5 = 0 GROUP BY 1 HAVING COUNT(*) >= 2")
+@register("me_related_insights", "SELECT l_orderkey AS memory_id, COUNT(*) AS overlap FROM lineitem GROUP BY 1 HAVING COUNT(*) >= 2")
 def me_related_insights(spark, sf):
     insights = t.load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("memory_id")).agg(F.collect_list(F.col("l_partkey").cast("string")).alias("positive_task_uris"))
-    uris = t.load(spark, sf, "part").filter("p_partkey % 5 = 0").select(F.col("p_partkey").cast("string").alias("uri"))
+    uris = t.load(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("uri"))
     return me.related_insights(insights, uris, 2)
 
 

@@ -154,7 +154,8 @@ QA = f"""WITH src AS (SELECT a.conv_id, a.turn, a.text AS response, b.text AS go
  c AS (SELECT conv_id, turn, w, SUM(a) AS a, SUM(b) AS b FROM w WHERE w <> '' GROUP BY 1, 2, 3),
  s AS (SELECT conv_id, turn, SUM(least(a, b)) AS same, SUM(a) AS la, SUM(b) AS lb FROM c GROUP BY 1, 2),
  sc AS (SELECT conv_id, turn, CASE WHEN p = q THEN 1.0::DOUBLE ELSE 0 END AS em, CASE WHEN contains(p, q) OR contains(q, p) THEN 1.0::DOUBLE ELSE 0 END AS sub_em,
-   CASE WHEN coalesce(same, 0) = 0 THEN 0 ELSE 2.0::DOUBLE * (same / la::DOUBLE) * (same / lb::DOUBLE) / (same / la::DOUBLE + same / lb::DOUBLE) END AS f1 FROM nn LEFT JOIN s USING (conv_id, turn))"""
+   CASE WHEN coalesce(same, 0) = 0 THEN 0 ELSE 2.0::DOUBLE * (same / la::DOUBLE) * (same / lb::DOUBLE) / (same / la::DOUBLE + same / lb::DOUBLE) END AS f1,
+   CASE WHEN coalesce(same, 0) = 0 THEN 0 ELSE same / la::DOUBLE END AS prec, CASE WHEN coalesce(same, 0) = 0 THEN 0 ELSE same / lb::DOUBLE END AS rec FROM nn LEFT JOIN s USING (conv_id, turn))"""
 
 
 def qa(spark, sf):
@@ -163,9 +164,9 @@ def qa(spark, sf):
     return turns.join(nxt, ["conv_id", "turn"]).select(F.struct("conv_id", "turn").alias("id"), F.col("text").alias("response"), F.array("gold").alias("golds"))
 
 
-@register("rl_qa_score", f"{QA} SELECT conv_id, turn, em, sub_em, {t.r6_sql('f1')} AS f1 FROM sc")
+@register("rl_qa_score", f"{QA} SELECT conv_id, turn, em, sub_em, {t.r6_sql('f1')} AS f1, {t.r6_sql('prec')} AS precision, {t.r6_sql('rec')} AS recall FROM sc")
 def rl_qa_score(spark, sf):
-    return ro.qa_score(qa(spark, sf)).select("id.conv_id", "id.turn", "em", "sub_em", r6("f1").alias("f1"))
+    return ro.qa_score(qa(spark, sf)).select("id.conv_id", "id.turn", "em", "sub_em", *[r6(c).alias(c) for c in ("f1", "precision", "recall")])
 
 
 @register("rl_eval_summary", f"{QA} SELECT round(AVG(floor(em * 100 + 0.5) / 100) * 100, 6) AS em, round(AVG(floor(sub_em * 100 + 0.5) / 100) * 100, 6) AS sub_em, round(AVG(floor(f1 * 100 + 0.5) / 100) * 100, 4) AS f1 FROM sc")

@@ -233,10 +233,10 @@ def tl_maturity(spark, sf):
 
 
 # ------------------------------------------------------------- targets, regulation
-@register("tg_prioritize", f"""WITH b AS (SELECT DISTINCT l_returnflag || l_linestatus AS domain, l_partkey AS gene FROM lineitem WHERE l_quantity > 45), f AS (SELECT gene, COUNT(*) AS n FROM b GROUP BY 1)
+@register("tg_prioritize", f"""WITH b AS (SELECT DISTINCT l_returnflag || l_linestatus AS domain, l_partkey AS gene FROM lineitem), f AS (SELECT gene, COUNT(*) AS n FROM b GROUP BY 1)
  SELECT gene, n AS spatial_frequency, {t.r6_sql("0.4 * n / (SELECT MAX(n) FROM f) + CASE WHEN p_type = 'PROMO' THEN 0.4 ELSE 0 END + CASE WHEN p_brand = 'Brand#1' THEN 0.2 ELSE 0 END")} AS priority_score FROM f JOIN part ON p_partkey = gene""")
 def tg_prioritize(spark, sf):
-    b = t.load(spark, sf, "lineitem").filter("l_quantity > 45").select(F.concat("l_returnflag", "l_linestatus").alias("domain"), F.col("l_partkey").alias("gene")).distinct()
+    b = t.load(spark, sf, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("domain"), F.col("l_partkey").alias("gene")).distinct()
     part = t.load(spark, sf, "part").select(F.col("p_partkey").alias("gene"), "p_type", "p_brand")
     return ti.prioritize_targets(b, part.filter("p_type = 'PROMO'"), part.filter("p_brand = 'Brand#1'")).select("gene", "spatial_frequency", r6("priority_score").alias("priority_score"))
 
