@@ -86,13 +86,18 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 def repeat_rows(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """``docs`` with each row as often as :func:`mix` takes it; all columns stay as they are.
 
-    Rows of one ``doc_id`` share its copies: each is given the mean, rounded so that the sum is kept.
+    Rows are told apart by id and text, so null and repeated ids are rows like any others.  Rows of one
+    id and text share their copies: each is given the mean, rounded so that the sum is kept.
     """
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    taken = mix(docs, doc_id=doc_id, **options).groupBy(key("doc_id").alias("_id")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    whole = docs.select(F.struct("*").alias("_row"), key(doc_id).alias("_id"))  # whatever the columns are called
-    joined = whole.join(taken.filter("_copies > 0"), "_id")
-    row = F.row_number().over(Window.partitionBy("_id").orderBy(F.lit(1)))
+    text = options.get("text", "text")
+    part = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    key = lambda i, t: F.md5(F.concat(part(i), F.lit("\n"), part(t)).cast("binary"))
+    source = options.get("source", "source")
+    named = docs.select(key(F.col(doc_id), F.col(text)).alias("_id"), F.col(source).alias(source), F.col(text).alias(text))
+    taken = mix(named, doc_id="_id", **options).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    whole = docs.select(F.struct("*").alias("_row"))  # whatever the columns are called
+    joined = whole.withColumn("_id", key(F.col(f"_row.{doc_id}"), F.col(f"_row.{text}"))).join(taken.filter("_copies > 0"), "_id")
+    row = F.row_number().over(Window.partitionBy("_id").orderBy(F.lit(1)))  # rows that are alike
     step = lambda r: F.floor(r * F.col("_copies") / F.col("_rows"))
     joined = joined.withColumn("_r", row).withColumn("_times", (step(F.col("_r")) - step(F.col("_r") - 1)).cast("int")).filter("_times > 0")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from cellweave.llm.common import gapless, materialize, small_table
 from cellweave.llm.token_counts import byte_letters
 
-#: Words whose ids a Python worker keeps; beyond that the older half goes.
-WORDS_KEPT = 700_000
+#: Words whose ids a Python worker keeps, some 60 MB; beyond that the older half goes.
+WORDS_KEPT = 300_000
 #: Words of these characters alone are split and lower-cased here as the library would; they need no
 #: normalisation, and all of them beyond ASCII are letters.
 PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")

@@ -20,7 +20,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm import shingle_sets
 from cellweave.llm.common import materialize
 from cellweave.llm.components import components
 from cellweave.llm.shingle_sets import shingle_hashes
@@ -30,7 +29,11 @@ BITS = 64
 
 def fingerprint_of(text: str | None, width: int = 4) -> int:
     """The fingerprint of one text, as a signed long."""
-    hashes = shingle_hashes(text, width)
+    return fingerprint_of_hashes(shingle_hashes(text, width))
+
+
+def fingerprint_of_hashes(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the hashes; without hashes all are 0."""
     if not len(hashes):
         return 0
     ones = np.zeros(BITS, np.int64)
@@ -116,10 +119,24 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[moved], ids[label[moved]]
 
 
+def sorted_groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Frames of rows sorted by ``key``, cut so that no group is in two of them."""
+    held = None
+    for frame in frames:
+        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        if not len(frame):
+            continue
+        last = frame[key].to_numpy() == frame[key].iloc[-1]
+        held = frame[last]
+        if not last.all():
+            yield frame[~last]
+    if held is not None and len(held):
+        yield held
+
+
 def _ask(frames: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
     """Links between components, from rows sorted by shard; a shard is never cut in two."""
-    held = None
-    def links(frame: pd.DataFrame) -> pd.DataFrame:
+    for frame in sorted_groups(frames, "shard_key"):
         shard = frame["shard_key"].to_numpy()
         tree, asks = frame["in_tree"].to_numpy(), frame["asks"].to_numpy()
         prints, comp = frame["print"].to_numpy().astype(np.int64).view(np.uint64), frame["comp"].to_numpy()
@@ -139,16 +156,7 @@ def _ask(frames: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
                 b.append(y)
         x, y = np.concatenate(a), np.concatenate(b)
         x, y = _spanning(x, y) if len(x) else (x, y)
-        return pd.DataFrame({"a": x, "b": y})
-
-    for frame in frames:
-        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-        last = frame["shard_key"].to_numpy() == frame["shard_key"].iloc[-1] if len(frame) else np.empty(0, bool)
-        held = frame[last]
-        if not last.all():
-            yield links(frame[~last])
-    if held is not None and len(held):
-        yield links(held)
+        yield pd.DataFrame({"a": x, "b": y})
 
 
 def _block(i: int, radius: int) -> Column:
@@ -199,15 +207,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = distinct.join(roots, "print").groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = roots.join(named, "root").select("print", "component_id")
     return rows.join(by_print, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", similarity: float | None = None, **options) -> DataFrame:
-    """The row of each component's smallest doc_id (one of its repeated rows); without ids: nothing is known, all stay.
-
-    Links are fingerprints within the radius, or with ``similarity`` shingle sets of that Jaccard similarity.
-    """
-    groups = near_duplicates(docs, doc_id=doc_id, **options) if similarity is None else shingle_sets.near_duplicates(docs, doc_id=doc_id, similarity=similarity, **options)
-    firsts = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    whole = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"))  # whatever the columns are called
-    known = whole.join(firsts, F.col("_id") == F.col("_kept")).dropDuplicates(["_id"]).select("_row.*")
-    return known.unionByName(docs.filter(F.col(doc_id).isNull()))
