@@ -270,6 +270,37 @@ def rl_balance_partitions(spark, sf):
     return ro.balance_partitions(d, 16)
 
 
+@register("rl_micro_batches", "WITH k AS (SELECT CAST(ceil(SUM(n_chars) / 20000.0) AS BIGINT) AS k, COUNT(*) AS n, SUM(n_chars)::BIGINT AS t FROM documents) SELECT k AS n_parts, n // k AS fewest, (n + k - 1) // k AS most, t AS n_tokens FROM k")
+def rl_micro_batches(spark, sf):
+    """The laws of the deal: as many groups as the tokens ask for, sizes that differ by one at most, every token once."""
+    d = t.load(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), F.col("n_chars").alias("n_tokens"))
+    parts = ro.micro_batches(d, 20_000).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("s"))
+    return parts.agg(F.count(F.lit(1)).alias("n_parts"), F.min("n").alias("fewest"), F.max("n").alias("most"), F.sum("s").alias("n_tokens"))
+
+
+RECALL = "list_avg(list_transform(golds, lambda g: CASE WHEN len({w}) > 0 THEN len(list_filter({w}, lambda w: contains({x}, w)))::DOUBLE / len({w}) ELSE 0 END))"
+GOLD_WORDS = "list_filter(regexp_split_to_array(g, '\\s+'), lambda v: v <> '')"
+
+
+def _recall(text: str) -> str:
+    return RECALL.format(w=GOLD_WORDS, x=text)
+
+
+@register("rl_recall_reward", f"""WITH s AS (SELECT a.conv_id, a.turn, '<memory>' || a.text || '</memory> ' || a.role AS prompt, 'x <update>' || left(b.text, 60) || '</update>' AS response, right(b.text, 80) AS recalled, [left(b.text, 30), right(b.text, 40), ''] AS golds
+   FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+ r AS (SELECT *, regexp_extract(prompt, '<memory>(.*?)</memory>', 1) AS o, regexp_extract(response, '<update>(.*?)</update>', 1) AS n FROM s)
+ SELECT conv_id, turn, {t.r6_sql(f"{_recall('n')} - {_recall('o')} + greatest(0, {_recall('(recalled || chr(32) || prompt)')} - {_recall('prompt')})")} AS reward FROM r""")
+def rl_recall_reward(spark, sf):
+    c = t.load(spark, sf, "conversations")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    rows = c.join(nxt, ["conv_id", "turn"])
+    prompt = F.concat(F.lit("<memory>"), "text", F.lit("</memory> "), "role")
+    response = F.concat(F.lit("x <update>"), F.substring("b", 1, 60), F.lit("</update>"))
+    end = lambda n: F.expr(f"right(b, {n})")
+    golds = F.array(F.substring("b", 1, 30), end(40), F.lit(""))
+    return rows.select("conv_id", "turn", r6(ro.recall_reward(prompt, response, end(80), golds)).alias("reward"))
+
+
 @register("rl_imbalance_stats", f"""WITH p AS (SELECT source, SUM(n_chars) AS t FROM documents GROUP BY 1) SELECT CAST(MIN(t) AS BIGINT) AS minmax_min, CAST(MAX(t) AS BIGINT) AS minmax_max, CAST(MAX(t) - MIN(t) AS BIGINT) AS diff, {t.r6_sql('AVG(t)')} AS mean, COUNT(*) AS n_parts FROM p""")
 def rl_imbalance_stats(spark, sf):
     return ro.imbalance_stats(t.load(spark, sf, "documents"), "n_chars", "source").withColumn("mean", r6("mean"))
