@@ -22,16 +22,46 @@ from cellweave.llm.url_filter import host_and_path
 TERMS = 8192
 
 
-def _triples(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, term) of all letter triples: lower case, everything else one blank."""
-    codes = np.frombuffer(" ".join(["", *(t.lower() for t in texts), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.fromiter((len(t.lower()) + 1 for t in texts), np.int64, len(texts))
-    owner = np.append(np.repeat(np.arange(len(texts)), lengths), len(texts) - 1)
+#: Characters worked on at a time.
+ROOM = 500_000
+
+
+def _terms(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each character but the first and last: whether it is a letter, and the term of the triple around it."""
     letter = (codes > 127) | (codes >= 97) & (codes <= 122)
     codes = np.where(letter, codes, 32).astype(np.uint64)
-    some = letter[1:-1]
     term = ((codes[:-2] * np.uint64(1_000_003) + codes[1:-1]) * np.uint64(1_000_003) + codes[2:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(51)
-    return owner[:len(term)][some], term[some].astype(np.int64)
+    return letter[1:-1], term.astype(np.int64)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _triples(texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, term) of all letter triples, about ``ROOM`` characters at a time: lower case, everything else one blank."""
+    lowered, lengths = [], []
+
+    def block(first: int) -> tuple[np.ndarray, np.ndarray]:
+        some, term = _terms(_codes(" ".join(["", *lowered, ""])))
+        owner = np.repeat(np.arange(first, first + len(lowered)), np.array(lengths) + 1)[:len(term)]
+        return owner[some], term[some]
+
+    for i, text in enumerate(texts):
+        text = text.lower()
+        if lowered and sum(lengths) + len(text) > ROOM:
+            yield block(i - len(lowered))
+            lowered, lengths = [], []
+        if len(text) <= ROOM:
+            lowered.append(text)
+            lengths.append(len(text))
+            continue
+        for at in range(0, len(text), ROOM):  # with the characters on both sides of the slice
+            piece = (text[at - 1] if at else " ") + text[at:at + ROOM] + (text[at + ROOM:at + ROOM + 1] or " ")
+            some, term = _terms(_codes(piece))
+            yield np.full(int(some.sum()), i), term[some]
+    if lowered:
+        yield block(len(texts) - len(lowered))
 
 
 @dataclass
@@ -43,9 +73,9 @@ class LanguageModel:
         """Log likelihood of each text, tempered, since neighbouring triples aren't independent."""
         out = np.zeros((len(texts), len(self.languages)))
         if texts:
-            owner, term = _triples(texts)
-            for j in range(len(self.languages)):
-                out[:, j] = temper * np.bincount(owner, self.log_share[j, term], len(texts))
+            for owner, term in _triples(texts):
+                for j in range(len(self.languages)):
+                    out[:, j] += temper * np.bincount(owner, self.log_share[j, term], len(texts))
         return out
 
 
@@ -60,8 +90,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         sums: dict[str, np.ndarray] = {}
         for frame in frames:
             for name, part in frame.groupby("_lang"):
-                _, term = _triples(part["_text"].tolist())
-                sums[name] = sums.get(name, 0) + np.bincount(term, minlength=TERMS)
+                for _, term in _triples(part["_text"].tolist()):
+                    sums[name] = sums.get(name, np.zeros(TERMS, np.int64)) + np.bincount(term, minlength=TERMS)
         for name, n in sums.items():
             yield pd.DataFrame({"lang": name, "term": np.flatnonzero(n), "n": n[n > 0]})
 
